@@ -6,7 +6,7 @@ characters and only a newline ending a line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAGS = "(?iUd)"
@@ -68,29 +68,32 @@ def word_pieces(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\b", -1), lambda p: p != "")
 
 
-def boundary_spans(text: Column, max_pieces: int) -> Column:
-    """Substrings of up to ``max_pieces`` pieces that have a word boundary at both ends.
+def boundary_spans(texts: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """Adds ``start``, ``stop``, ``span``: substrings with a word boundary at both ends.
 
     These are exactly the strings ``\\bname\\b`` can match, so a dictionary is
-    matched by equality on ``span`` instead of one search per name.
+    matched by equality on ``span`` instead of one search per name. ``sizes`` are
+    the numbers of pieces the dictionary's names have; other spans cannot match.
     """
-    pieces = word_pieces(text)
-    n = F.size(pieces)
+    keep = texts.columns
+    cut = texts.withColumn("_p", word_pieces(F.col(text))).where(F.size("_p") > 0)
+    ends = F.aggregate("_p", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    cut = cut.withColumn("_e", ends).withColumn("_n", F.size("_p"))
     word = r"(?U)\w"
-    starts = F.aggregate(
-        pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-
-    def span(i, j):
-        lo, hi = F.get(starts, i), F.get(starts, j + 1)
-        return F.struct(lo.alias("start"), hi.alias("stop"),
-                        F.substring(text, lo + 1, hi - lo).alias("span"))
-
-    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i > 0) | F.get(pieces, i).rlike("^" + word))
-    spans = F.transform(opens, lambda i: F.transform(
-        F.filter(F.sequence(i, F.least(i + max_pieces - 1, n - 1)),
-                 lambda j: (j < n - 1) | F.get(pieces, j).rlike(word + "$")),
-        lambda j: span(i, j)))
-    return F.when(n > 0, F.flatten(spans))
+    cut = cut.withColumn("_first", F.when(F.element_at("_p", 1).rlike("^" + word), 0).otherwise(1)).withColumn(
+        "_last", F.when(F.element_at("_p", -1).rlike(word + "$"), F.col("_n")).otherwise(F.col("_n") - 1))
+    at = cut.select(*keep, "_e", "_last", F.explode(
+        F.when(F.col("_first") < F.col("_n"), F.sequence("_first", F.col("_n") - 1))).alias("_i"))
+    to = at.select(*keep, "_e", "_last", "_i", F.explode(F.lit(sizes)).alias("_k")).where(
+        F.col("_i") + F.col("_k") <= F.col("_last"))
+    lo, hi = F.get("_e", F.col("_i")), F.get("_e", F.col("_i") + F.col("_k"))
+    return to.select(*keep, lo.alias("start"), hi.alias("stop")).withColumn(
+        "span", F.substring(F.col(text), F.col("start") + 1, F.col("stop") - F.col("start")))
+
+
+def piece_counts(names: DataFrame, name: str = "name") -> list[int]:
+    """The distinct numbers of pieces among a dictionary's names (a handful of small integers)."""
+    return sorted(r[0] for r in names.select(F.size(word_pieces(F.col(name)))).distinct().collect()) or [1]
 
 
 def cache_key(headline: Column) -> Column:

@@ -129,17 +129,17 @@ def stratified_gap(windows: DataFrame, edges: DataFrame) -> DataFrame:
           for s, f in (("same", True), ("cross", False))])
     tot = strata_totals(usable).groupBy(*SNAPSHOT_KEY).agg(
         *[F.sum(F.when(F.col("same") == f, F.col(c))).alias(f"{p}_{s}")
-          for s, f in (("same", True), ("cross", False)) for c, p in (("pairs", "N"), ("total", "T"))])
+          for s, f in (("same", True), ("cross", False)) for c, p in (("pairs", "all"), ("total", "sum"))])
 
     def gap(n, l, N, T):
         return l / n - F.try_divide(T - l, N - n)
 
     n_all, l_all = F.col("n_same") + F.col("n_cross"), F.col("l_same") + F.col("l_cross")
-    N_all, T_all = F.col("N_same") + F.col("N_cross"), F.col("T_same") + F.col("T_cross")
+    N_all, T_all = F.col("all_same") + F.col("all_cross"), F.col("sum_same") + F.col("sum_cross")
 
     def stratum(s):
-        n, N = F.col(f"n_{s}"), F.col(f"N_{s}")
-        return F.when((n >= MIN_STRATUM) & (N - n >= MIN_STRATUM), gap(n, F.col(f"l_{s}"), N, F.col(f"T_{s}")))
+        n, N = F.col(f"n_{s}"), F.col(f"all_{s}")
+        return F.when((n >= MIN_STRATUM) & (N - n >= MIN_STRATUM), gap(n, F.col(f"l_{s}"), N, F.col(f"sum_{s}")))
 
     return (
         linked.join(tot, SNAPSHOT_KEY).where(n_all >= MIN_LINKED)

@@ -43,12 +43,14 @@ def rolling_snapshots(edges: DataFrame, base_date: str, windows: tuple[int, ...]
     """
     daily = edges.groupBy("date", "layer", "src", "dst").agg(F.sum("conf").alias("c"))
     offset = F.datediff("date", F.to_date(F.lit(base_date)))
-    covered = F.concat(*[
-        F.transform(
-            F.sequence(F.greatest(F.ceil(offset / stride), F.lit(0)).cast("int"),
-                       F.floor((offset + w - 1) / stride).cast("int")),
-            lambda i, w=w: F.struct(F.lit(w).alias("win"), i.alias("i")))
-        for w in windows])
+
+    def covered_by(w):
+        first = F.greatest(F.ceil(offset / stride), F.lit(0)).cast("int")
+        last = F.floor((offset + w - 1) / stride).cast("int")
+        return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")),
+                           lambda i: F.struct(F.lit(w).alias("win"), i.alias("i")))
+
+    covered = F.concat(*[covered_by(w) for w in windows])
     return (
         daily.where(offset >= 0)
         .withColumn("_s", F.explode(covered))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions.text import (
     BLOCKED_NAMES, FLAGS, HYPHEN_LOOK, MAX_FIRMS, MAX_GAP, NAME_EXCLUSIONS,
-    boundary_spans, classify, clean_name, is_junk, word_pieces,
+    boundary_spans, classify, clean_name, is_junk, piece_counts,
 )
 
 
@@ -47,16 +47,11 @@ def short_names(names: DataFrame) -> DataFrame:
     )
 
 
-def _max_pieces(dictionary: DataFrame) -> int:
-    row = dictionary.agg(F.max(F.size(word_pieces(F.col("name")))).alias("n")).first()
-    return max(int(row["n"] or 1), 1)
-
-
-def _hits(articles: DataFrame, dictionary: DataFrame, text: Column, rank: int) -> DataFrame:
-    spans = articles.select("article_id", "title", F.explode(boundary_spans(text, _max_pieces(dictionary))).alias("s"))
-    return spans.select("article_id", "title", "s.*").join(
-        dictionary.withColumnRenamed("name", "span"), "span").select(
-        "article_id", "title", F.lit(rank).alias("rank"), "span", "start", "stop", "firm", "ord")
+def _hits(articles: DataFrame, dictionary: DataFrame, lowered: bool, rank: int) -> DataFrame:
+    text = F.lower("title") if lowered else F.col("title")
+    spans = boundary_spans(articles.select("article_id", text.alias("_t")), "_t", piece_counts(dictionary))
+    return spans.drop("_t").join(dictionary.withColumnRenamed("name", "span"), "span").select(
+        "article_id", F.lit(rank).alias("rank"), "span", "start", "stop", "firm", "ord")
 
 
 def find_mentions(articles: DataFrame, names: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
@@ -67,22 +62,25 @@ def find_mentions(articles: DataFrame, names: DataFrame, tickers: DataFrame | No
     ones, then tickers in parentheses, and an overlapping later claim is dropped.
     Claims are settled per headline, so a group is no larger than one headline.
     """
-    tickers = names.select(F.col("firm").cast("string").alias("name"), "firm", F.struct("pos", F.lit(0)).alias("ord")) \
+    tickers = names.select(F.col("firm").cast("string").alias("name"), "firm", F.struct("pos", F.lit(0).alias("slot")).alias("ord")) \
         if tickers is None else tickers
-    text = F.col("title")
-    lowered = F.lower(text)
-    after = F.expr("substring(lower(title), stop + 1)")
     barred = F.lit(False)
     for firm, pattern in NAME_EXCLUSIONS.items():
-        barred = barred | ((F.col("firm").cast("string") == firm) & after.rlike(FLAGS + rf"^\s*({pattern})"))
-    full = _hits(articles, long_names(names), lowered, 0).withColumn("barred", barred)
-    short = _hits(articles, short_names(names), text, 1).withColumn("barred", F.lit(False))
-    in_brackets = _hits(articles.where(F.col("title").contains("(")), tickers, text, 2).where(
-        F.col("span").rlike("^[A-Z]{1,5}$")
-        & (F.expr("substring(title, start, 1)") == "(") & (F.expr("substring(title, stop + 1, 1)") == ")")
-        & (F.col("start") > 0)
-    ).withColumns({"start": F.col("start") - 1, "stop": F.col("stop") + 1, "barred": F.lit(False)})
-    claims = full.unionByName(short).unionByName(in_brackets)
+        barred = barred | ((F.col("firm").cast("string") == firm)
+                           & F.expr("substring(lower(title), stop + 1)").rlike(FLAGS + rf"^\s*({pattern})"))
+    full = _hits(articles, long_names(names), True, 0)
+    short = _hits(articles, short_names(names), False, 1)
+    brackets = _hits(articles.where(F.col("title").contains("(")), tickers, False, 2).where(
+        F.col("span").rlike("^[A-Z]{1,5}$"))
+    enclosed = (F.expr("substring(title, start, 1)") == "(") & (F.expr("substring(title, stop + 1, 1)") == ")")
+    claims = (
+        full.unionByName(short).unionByName(brackets)
+        .join(articles.select("article_id", "title"), "article_id")
+        .withColumn("barred", (F.col("rank") == 0) & barred)
+        .where((F.col("rank") < 2) | ((F.col("start") > 0) & enclosed))
+        .withColumns({"start": F.when(F.col("rank") == 2, F.col("start") - 1).otherwise(F.col("start")),
+                      "stop": F.when(F.col("rank") == 2, F.col("stop") + 1).otherwise(F.col("stop"))})
+    )
     ranked = F.struct(
         "rank", F.when(F.col("rank") == 0, -F.length("span")).otherwise(0).alias("len"), "ord", "start",
         "stop", "span", "firm", "barred")

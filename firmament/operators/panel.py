@@ -18,7 +18,7 @@ def unpivot_matrix(wide: DataFrame, id_col: str = "ticker", value: str = "value"
     days = [c for c in wide.columns if c != id_col]
     return (
         wide.unpivot([id_col], days, "day", value)
-        .select(F.to_date(F.ltrim(F.lit("X"), F.col("day")), "yyyyMMdd").alias("date"),
+        .select(F.to_date(F.ltrim("day", F.lit("X")), "yyyyMMdd").alias("date"),
                 F.col(id_col).alias(firm),
                 F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")).alias(value))
     )

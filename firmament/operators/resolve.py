@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.functions.text import boundary_spans, clean_mention, word_pieces
-from firmament.operators.mentions import _max_pieces, long_names
+from firmament.functions.text import boundary_spans, clean_mention, piece_counts
+from firmament.operators.mentions import long_names
 
 
 def resolve_names(written: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,17 +21,15 @@ def resolve_names(written: DataFrame, names: DataFrame) -> DataFrame:
     distinct = written.select("name").distinct().withColumn("text", clean_mention(F.col("name")))
     texts = distinct.where(F.col("text") != "")
     inside_text = (
-        texts.select("name", "text", F.explode(boundary_spans(F.col("text"), _max_pieces(entries))).alias("s"))
-        .select("name", F.col("s.span").alias("entry"))
+        boundary_spans(texts.select("name", "text"), "text", piece_counts(entries))
+        .select("name", F.col("span").alias("entry"))
         .join(entries.withColumnRenamed("name", "entry"), "entry")
         .select("name", F.length("entry").alias("score"), "ord", "firm")
     )
-    pieces = texts.agg(F.max(F.size(word_pieces(F.col("text")))).alias("n")).first()["n"]
     entry_spans = (
-        entries.select("firm", "ord", F.col("name").alias("entry"),
-                       F.explode(boundary_spans(F.col("name"), max(int(pieces or 1), 1))).alias("s"))
-        .where(F.length("s.span") < F.length("entry"))
-        .select(F.col("s.span").alias("text"), "firm", "ord", "entry").distinct()
+        boundary_spans(entries.select("firm", "ord", "name"), "name", piece_counts(texts, "text"))
+        .where(F.length("span") < F.length("name"))
+        .select(F.col("span").alias("text"), "firm", "ord").distinct()
     )
     inside_entry = texts.join(entry_spans, "text").select("name", F.length("text").alias("score"), "ord", "firm")
     best = (

@@ -133,6 +133,11 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 - F.col("disc")).alias("conf"))
 
 
+def display_name():
+    """Supplier names without the word that would itself read as a relation."""
+    return F.replace(F.col("s_name"), F.lit("Supplier#"), F.lit("Vendor "))
+
+
 def names(spark: SparkSession, sf_dir: str, universe: DataFrame) -> DataFrame:
     """Dictionary of the universe's firms: official names with legal suffixes, one spelled-out variant."""
     suffix = (
@@ -141,14 +146,14 @@ def names(spark: SparkSession, sf_dir: str, universe: DataFrame) -> DataFrame:
     return (
         table(spark, sf_dir, "supplier").join(universe, F.col("s_suppkey") == F.col("firm"))
         .select("firm", "pos",
-                F.concat(F.when(F.col("s_acctbal") > 5000, "The ").otherwise(""), "s_name", suffix).alias("official_name"),
-                F.concat(F.lit("House of "), "s_name", F.lit("|"), F.lit("S"), F.col("firm").cast("string")).alias("variants"))
+                F.concat(F.when(F.col("s_acctbal") > 5000, "The ").otherwise(""), display_name(), suffix).alias("official_name"),
+                F.concat(F.lit("House of "), display_name(), F.lit("|V"), F.col("firm").cast("string")).alias("variants"))
     )
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stated (or merely mentioned) pair per consecutive line pair, with its label."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", display_name().alias("s_name"))
     pre, mid, post = (F.element_at(F.array(*[F.lit(p[i]) for p in PHRASES]), F.col("code") + 1) for i in range(3))
     relation = F.get(F.array(*[F.lit(r) for r in RELATION_OF_CODE]), F.col("code"))
     truth = (

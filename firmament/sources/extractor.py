@@ -32,7 +32,7 @@ def numbered_prompt(headlines: list[str]) -> str:
 def pattern_extractor(headlines: list[str]) -> list[dict]:
     """Reads '<Name> <relation words> <Name>' for capitalised names, dictionary-free."""
     out = []
-    name = r"([A-Z][\w&.#'-]*(?: [A-Z][\w&.#'-]*)*)"
+    name = r"([A-Z][\w&.#'-]*(?: [A-Z0-9][\w&.#'-]*)*)"
     for i, h in enumerate(headlines):
         for relation, words in RELATION_PATTERNS:
             m = re.search(rf"{name} [^A-Z]*?(?i:{words})\w*[^A-Z]*{name}", h)
