@@ -62,8 +62,7 @@ def dates(col: str = "date"):
 
 @query
 def panel_weekly(spark, sf):
-    c = D.cells(spark, sf)
-    return rounded(c.withColumn("price", F.col("volume") / F.col("qty")), volume=2, qty=2, price=6)
+    return rounded(D.cells(spark, sf), volume=2, qty=2)
 
 
 @query
