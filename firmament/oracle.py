@@ -314,7 +314,7 @@ ASOF = """force AS (
 
 
 # Penalised equations: one coordinate per recursion step, all equations of all refits together.
-def descend(name: str, alpha: float, l1_ratio: float, weight: str, sweeps: int = 150) -> str:
+def descend(name: str, alpha: float, l1_ratio: float, weight: str, sweeps: int = 60) -> str:
     """``weight`` is the penalty weight of column j in equation k; gives ``name(model, t, refit, firm, x, pred)``."""
     steps = sweeps * UNIVERSE_N
     return f"""{name}_c AS (
@@ -650,6 +650,22 @@ rows_ AS (
                             dm("everything", [("GraphVAR-news-hard", "AR"), ("GraphVAR-news-hard", "GraphVAR-sector-hard"),
                                               ("GraphVAR-news-hard", "CorrGraphVAR-hard"), ("VAR", "AR")]),
                             f"SELECT model_a, model_b, days, {rd('dm')} AS dm, {rd('p')} AS p_value, verdict FROM dm"),
+    "graph_vs_ar_layer": sql(
+        *GRAPH_MARKET, AR, links("hard", {x: f"('{x}')" for x in LAYER_OF_CODE[:4]}), graph_ols("hard", "hard_links"), f"""live AS (SELECT DISTINCT layer, snap_date, src, dst FROM snaps_all
+  WHERE layer IN {NEWS_LAYERS} AND {INSIDE} AND snap_date IN (SELECT snap_date FROM force)),
+covered AS (SELECT DISTINCT layer, firm FROM (SELECT layer, src AS firm FROM live UNION ALL SELECT layer, dst FROM live)),
+wide_enough AS (SELECT layer, count(*) AS n_firms FROM covered GROUP BY layer HAVING count(*) >= 3),
+density AS (
+  SELECT layer, count(*) / (SELECT count(*) FROM force WHERE snap_date IS NOT NULL) AS edges_per_day
+  FROM live JOIN force USING (snap_date) GROUP BY layer),
+sides AS (
+  SELECT h.model AS layer, 'graph' AS model, t, h.firm, x, pred FROM hard h JOIN covered c ON c.layer = h.model AND c.firm = h.firm
+  UNION ALL SELECT c.layer, 'AR', t, firm, x, pred FROM ar JOIN covered c USING (firm))""",
+        stat_metrics("sides", "layer, model"), dm("sides", [("graph", "AR")], "layer", "graph better", "AR better"),
+        f"""SELECT layer, n_firms, {rd('edges_per_day')} AS edges_per_day, {rd('g.oos_r2')} AS graph_r2, {rd('g.dir_acc')} AS graph_dir_acc,
+  {rd('a.oos_r2')} AS ar_r2, {rd('a.dir_acc')} AS ar_dir_acc, {rd('dm')} AS dm, {rd('p')} AS p_value, verdict
+FROM wide_enough JOIN density USING (layer) JOIN stat g USING (layer) JOIN stat a USING (layer) JOIN dm USING (layer)
+WHERE g.model = 'graph' AND a.model = 'AR'"""),
     "news_filter": sql(*TEXT, NEWS_ROWS, 'SELECT * FROM kept'),
     "article_table": sql(*TEXT, NEWS_ROWS, ARTICLES, """SELECT article_id, date, title, publisher, array_to_string(tags, ',') AS tickers,
   CAST(len(tags) AS INT) AS n_tickers FROM articles"""),
