@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOG_EPS = 1e-3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once per row.
+
+    Without the binding, Catalyst may inline the value at each use: into every
+    branch of a predicate, or into a lambda that runs per array element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_eps(x: Column) -> Column:
     return F.log(x + F.lit(LOG_EPS))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmament.functions.scalars import let
+
 FLAGS = "(?iUd)"
 
 # The headline patterns, name lists and limits the results depend on.
@@ -17,6 +19,17 @@ JUNK_PATTERNS = [
     r"market in 5 minutes", r"wall street breakfast", r"movers", r"ranked", r"price target", r"\betf\b",
     r"podcast", r"13f", r"\bstakes?\b", r"to advise on", r"advisor to", r"advising",
 ]
+# Text that must occur (in lower case) for a pattern to have a chance.
+JUNK_NEEDLES = {
+    r"pre-?market": ["market"], r"mid-?morning": ["morning"], r"\betf\b": ["etf"], r"\bstakes?\b": ["stake"],
+}
+FUND_NEEDLES = ["buys", "sells", "adds", "trims"]
+RELATION_NEEDLES = {
+    "acquisition": ["acquir", "merge", "takeover", "buy"],
+    "partnership": ["partner", "joint venture", "team", "alliance with", "collaborat"],
+    "supplier": ["suppl", "award", "contract"],
+    "competitor": ["rival", "compet", "price war"],
+}
 FUND_BUYER = (r"\b(management|partners|capital|advisors|investments?|fund|llc|ltd)\b"
               r".{0,40}\b(buys|sells|adds|trims)\b")
 RELATION_PATTERNS = [
@@ -37,16 +50,42 @@ MAX_FIRMS = 4
 HYPHEN_LOOK = 30
 
 
+def _folded(low: Column) -> Column:
+    """Lower-cased text with the two letters folded that only case-insensitive matching folds."""
+    return F.replace(F.replace(low, F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k"))
+
+
+def _any(text: Column, needles: list[str]) -> Column:
+    hit = F.lit(False)
+    for n in needles:
+        hit = hit | text.contains(n)
+    return hit
+
+
 def is_junk(headline: Column) -> Column:
-    return headline.rlike(FLAGS + "|".join(JUNK_PATTERNS)) | headline.rlike(FLAGS + FUND_BUYER)
+    """Substring tests decide most texts; a pattern runs only where its needle occurs."""
+
+    def test(text, low):
+        hit = _any(low, [p for p in JUNK_PATTERNS if p not in JUNK_NEEDLES])
+        for pattern, needles in JUNK_NEEDLES.items():
+            hit = hit | (_any(low, needles) & low.rlike("(?Ud)" + pattern))
+        fund = let(_folded(low), lambda f: _any(f, FUND_NEEDLES))
+        return hit | (fund & text.rlike(FLAGS + FUND_BUYER))
+
+    return let(headline, lambda text: let(F.lower(text), lambda low: test(text, low)))
 
 
 def classify(headline: Column, allow_rumors: bool = True) -> Column:
     """First relation type whose pattern occurs, else NULL."""
-    found = F.lit(None).cast("string")
-    for relation, pattern in reversed(RELATION_PATTERNS):
-        found = F.when(headline.rlike(FLAGS + pattern), relation).otherwise(found)
-    return found if allow_rumors else F.when(~headline.rlike(FLAGS + RUMOR), found)
+
+    def first(text, folded):
+        found = F.lit(None).cast("string")
+        for relation, pattern in reversed(RELATION_PATTERNS):
+            chance = _any(folded, RELATION_NEEDLES[relation])
+            found = F.when(chance & text.rlike(FLAGS + pattern), relation).otherwise(found)
+        return found if allow_rumors else F.when(~text.rlike(FLAGS + RUMOR), found)
+
+    return let(headline, lambda text: let(_folded(F.lower(text)), lambda folded: first(text, folded)))
 
 
 def clean_name(name: Column) -> Column:

@@ -16,6 +16,8 @@ from firmament.functions.text import (
     boundary_spans, classify, clean_name, is_junk, piece_counts,
 )
 
+from firmament.session import materialize
+
 
 def _written_forms(names: DataFrame) -> DataFrame:
     """Every written form of every firm, in dictionary order."""
@@ -84,7 +86,7 @@ def find_mentions(articles: DataFrame, names: DataFrame, tickers: DataFrame | No
     ranked = F.struct(
         "rank", F.when(F.col("rank") == 0, -F.length("span")).otherwise(0).alias("len"), "ord", "start",
         "stop", "span", "firm", "barred")
-    settled = claims.groupBy("article_id", "title").agg(F.array_sort(F.collect_list(ranked)).alias("claims"))
+    settled = claims.groupBy("article_id", "title").agg(F.sort_array(F.collect_list(ranked)).alias("claims"))
     return settled.select("article_id", "title", _settle("claims").alias("mentions")).where(F.size("mentions") > 0)
 
 
@@ -144,7 +146,7 @@ def typed_headlines(articles: DataFrame, allow_rumors: bool = True) -> DataFrame
 
 def rule_edges(articles: DataFrame, names: DataFrame, allow_rumors: bool = True) -> DataFrame:
     """``(article_id, date, ticker_a, ticker_b, relation, headline)``: one row per pair found."""
-    typed = typed_headlines(articles, allow_rumors)
+    typed = materialize(typed_headlines(articles, allow_rumors), "typed")  # read once per dictionary below
     found = pair_mentions(find_mentions(typed.select("article_id", "title"), names))
     return (
         typed.join(found.select("article_id", F.explode("pairs").alias("p")), "article_id")
@@ -165,6 +167,7 @@ def candidates(articles: DataFrame, universe: DataFrame, names: DataFrame, min_t
         .groupBy("article_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_tags)
     )
     pool = articles.join(tagged, "article_id", "left_semi")
+    pool = materialize(pool, "pool")
     named = find_mentions(pool.where(F.col("title").isNotNull()).select("article_id", "title"), names)
     return pool.join(named.select("article_id"), "article_id", "left_semi")
 

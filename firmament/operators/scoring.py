@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmament.operators.mentions import find_mentions, pair_mentions, typed_headlines
+from firmament.session import materialize
 
 
 def parse_labels(labels: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def parse_labels(labels: DataFrame) -> DataFrame:
 
 def rules_prediction(headlines: DataFrame, names: DataFrame) -> DataFrame:
     """``(article_id, relation)`` where the rules emit at least one pair."""
-    typed = typed_headlines(headlines)
+    typed = materialize(typed_headlines(headlines), "typed")
     paired = pair_mentions(find_mentions(typed.select("article_id", "title"), names)).where(F.size("pairs") > 0)
     return typed.join(paired.select("article_id"), "article_id", "left_semi").select("article_id", "relation")
 

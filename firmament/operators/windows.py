@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.functions.scalars import array_quantile, array_sum, clip_array
+from firmament.functions.scalars import array_quantile, array_sum, clip_array, let
 
 LOOKBACK = 4 * 252
 REFIT_EVERY = 20
@@ -19,10 +19,20 @@ WINSOR = 0.01
 
 def firm_series(panel: DataFrame, value: str = "x", keys: tuple[str, ...] = ("pos", "firm")) -> DataFrame:
     """One row per firm; ``xs[i]`` is the value at t = i. Needs a dense panel."""
-    pairs = F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v"))))
+    pairs = F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("v"))))
     return panel.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias("xs"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the session's full shuffle width.
+
+    Windows multiply their input by lookback / refit_every; sized by the bytes
+    going in, that work would be coalesced into too few tasks.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def refit_windows(series: DataFrame, lookback: int = LOOKBACK, refit_every: int = REFIT_EVERY,
                   start: int = 0) -> DataFrame:
     """One row per (firm, refit day).
@@ -47,18 +57,15 @@ def refit_windows(series: DataFrame, lookback: int = LOOKBACK, refit_every: int
 
 def winsorized(w: Column, q: float = WINSOR) -> Column:
     """Clip an array at its own interpolated ``q`` and ``1 - q`` quantiles."""
-    s = F.array_sort(w)
-    return clip_array(w, array_quantile(s, q), array_quantile(s, 1.0 - q))
+    def clip(s):
+        ends = F.struct(array_quantile(s, q).alias("lo"), array_quantile(s, 1.0 - q).alias("hi"))
+        return let(ends, lambda e: clip_array(w, e["lo"], e["hi"]))
+
+    return let(F.sort_array(w), clip)
 
 
 def with_winsorized(windows: DataFrame, q: float = WINSOR) -> DataFrame:
-    return (
-        windows.withColumn("_s", F.array_sort("w"))
-        .withColumn("_lo", array_quantile(F.col("_s"), q))
-        .withColumn("_hi", array_quantile(F.col("_s"), 1.0 - q))
-        .withColumn("w", clip_array(F.col("w"), F.col("_lo"), F.col("_hi")))
-        .drop("_s", "_lo", "_hi")
-    )
+    return windows.withColumn("w", winsorized(F.col("w"), q))
 
 
 def with_ar_fit(windows: DataFrame) -> DataFrame:

@@ -540,7 +540,7 @@ def junk_flag(spark, sf):
 @query
 def classify(spark, sf):
     """First relation pattern found in each article title and each document."""
-    a = _articles(spark, sf).where(F.col("title").isNotNull()).select(
+    a = materialize(_articles(spark, sf), "articles").where(F.col("title").isNotNull()).select(
         "article_id", X.is_junk(F.col("title")).alias("junk"), X.classify(F.col("title")).alias("relation"))
     d = D.table(spark, sf, "documents").select(
         F.concat(F.lit("doc/"), "doc_id").alias("article_id"), X.is_junk(F.col("text")).alias("junk"),
@@ -567,7 +567,7 @@ def _titles(spark, sf) -> DataFrame:
 def mentions_pairs(spark, sf):
     """Mentions of universe firms in every headline, one row each."""
     n = materialize(D.names(spark, sf, _universe(spark, sf)), "names")
-    m = MN.find_mentions(_titles(spark, sf).select("article_id", "title"), n)
+    m = MN.find_mentions(materialize(_titles(spark, sf).select("article_id", "title"), "titles"), n)
     return m.select("article_id", F.explode("mentions").alias("m")).select("article_id", "m.start", "m.stop", "m.firm")
 
 
@@ -610,7 +610,7 @@ def resolve_names(spark, sf):
 
 
 def _model_cache(spark, sf):
-    titles = _titles(spark, sf)
+    titles = materialize(_titles(spark, sf), "titles")
     cache = materialize(E.extract(E.uncached(titles, None)), "extractor-cache")
     return titles, cache
 

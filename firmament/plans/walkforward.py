@@ -61,7 +61,7 @@ def forecast_rows(fitted: DataFrame) -> DataFrame:
 
 def ar_walk_forward(series: DataFrame, lookback: int, refit_every: int, start: int = 0) -> DataFrame:
     """AR(1) per firm for any number of firms: no shuffle after the series, no Python."""
-    w = Wn.with_winsorized(Wn.refit_windows(series, lookback, refit_every, start))
+    w = Wn.with_winsorized(Wn.refit_windows(Wn.spread(series, "firm"), lookback, refit_every, start))
     fit = Wn.with_ar_fit(w)
     pred = F.transform("z", lambda v: F.col("intercept") + F.col("slope") * v)
     return forecast_rows(fit.select(F.lit("AR").alias("model"), "refit", "firm", pred.alias("pred"), "y"))
@@ -98,7 +98,8 @@ def walk_forward(series: DataFrame, specs: list[Spec], lookback: int = Wn.LOOKBA
     n_firms = series.count()
     if n_firms > max_firms:
         raise ValueError(f"joint models need a listed universe, got {n_firms} firms")
-    w = Wn.refit_windows(series, lookback, refit_every, start)
+    # one shuffle of raw windows by refit day; the grouping below needs no other
+    w = Wn.spread(Wn.refit_windows(series, lookback, refit_every, start), "refit")
     if winsor:
         w = Wn.with_winsorized(w, winsor)
     jobs = F.array(*[F.struct(F.lit(s.label).alias("model"), F.lit(s.graph).cast("string").alias("graph"))
