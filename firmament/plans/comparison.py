@@ -11,6 +11,7 @@ from firmament.operators import metrics as M
 from firmament.operators import windows as Wn
 from firmament.operators.correlation import stratified_gap, windows_before
 from firmament.plans import walkforward as WF
+from firmament.session import materialize
 
 COMPARISON = [
     WF.BASELINES[0],
@@ -54,6 +55,7 @@ def run(series: DataFrame, specs: list[WF.Spec], calendar: DataFrame, universe:
         graphs: dict[str, DataFrame] | None = None, snaps: DataFrame | None = None,
         lookback: int = Wn.LOOKBACK, refit_every: int = Wn.REFIT_EVERY, start: int = 0) -> DataFrame:
     """Long forecasts ``(model, t, refit, firm, x, pred)`` of all configurations, as one plan."""
+    series = materialize(series, "series")  # sized, listed for refits and cut into windows: read, not recomputed
     nb = None
     if graphs:
         refits = Wn.refit_windows(series, lookback, refit_every, start).select("refit").distinct()
