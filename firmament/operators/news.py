@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAST_DAY = "2020-12-31"
 
 
+def utc_time(text: Column) -> Column:
+    """A written time as naive UTC, NULL if unreadable; no zone means UTC, whatever the session's zone."""
+    day_only = text.rlike(r"^\d{4}-\d\d-\d\d$")
+    zoned = text.rlike(r"(Z|[A-Z]{3}|[+-]\d\d:?\d\d)$")
+    full = F.when(day_only, F.concat(text, F.lit(" 00:00:00 UTC"))).when(zoned, text).otherwise(
+        F.concat(text, F.lit(" UTC")))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(full)),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def filter_news(rows: DataFrame, tickers: DataFrame, last_day: str = LAST_DAY) -> DataFrame:
     """Keep rows tagged with a panel ticker that have a readable date and a title.
 
     ``rows`` has the raw columns; a date that cannot be read drops its row, and
     the upper bound is midnight of ``last_day``.
     """
-    when = F.to_timestamp_ntz(F.date_format(F.try_to_timestamp("Date"), "yyyy-MM-dd HH:mm:ss"))
+    when = utc_time(F.col("Date"))
     return (
         rows.join(tickers.select(F.col("firm").alias("Stock_symbol")), "Stock_symbol", "left_semi")
         .withColumn("Date", when)

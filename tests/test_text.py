@@ -165,6 +165,19 @@ def test_article_table(spark):
     assert str(got["u1"]["date"]) == "2010-01-01 00:00:00"
 
 
+def test_news_times_do_not_depend_on_the_session_zone(spark):
+    want = {"2010-07-01": "2010-07-01 00:00:00", "2010-07-01 12:00:00": "2010-07-01 12:00:00", "x": None,
+            "2010-07-01 12:00:00 UTC": "2010-07-01 12:00:00", "2010-07-01 12:00:00+02:00": "2010-07-01 10:00:00"}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = {r["t"]: r["u"] for r in df.select("t", NW.utc_time(F.col("t")).alias("u")).collect()}
+            assert {k: None if v is None else str(v) for k, v in got.items()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_candidates(spark, names, articles):
     tagged = articles.withColumn("tickers", F.when(F.col("title").startswith("Zed"), F.array(F.lit("ACM"), F.lit("QQQ")))
                                  .otherwise(F.array(F.lit("ACM"), F.lit("BOR"))))
