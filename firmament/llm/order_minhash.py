@@ -194,3 +194,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "digest", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
     out = rows.select("id", "digest").join(by_text, "digest", "left")
     return out.select(F.col("id").alias(id_col), "class_id", "copy_of")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest id; of repeated rows with that id, one.
+
+    Rows without an id go if a row with an id has their text, else they stay.
+    """
+    classes = materialize(near_duplicates(docs, id_col, text_col), "omh-classes")
+    others = materialize(classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "omh-others")
+    kept = join_small(docs, others, id_col, "left_anti")
+    if not classes.where(F.col(id_col).isNull() & F.col("class_id").isNotNull()).isEmpty():
+        known = materialize(docs.where(F.col(id_col).isNotNull()).select(F.md5(body(text_col)).alias("_digest")).distinct(), "omh-known")
+        nameless = docs.where(F.col(id_col).isNull()).withColumn("_digest", F.md5(body(text_col)))
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(join_small(nameless, known, "_digest", "left_anti").drop("_digest"))
+    twice = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    repeated = materialize(twice.select(id_col), "omh-repeated")
+    return join_small(kept, repeated, id_col, "left_anti").unionByName(join_small(kept, repeated, id_col).select(*docs.columns).dropDuplicates([id_col]))
