@@ -112,6 +112,8 @@ def in_turn(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = src.withColumn("bucket", bucket("id"))
     order = F.struct("id", F.md5("text").alias("md5"))
     heads = sorted((r.bucket, r.head.id, r.head.md5) for r in key.groupBy("bucket").agg(F.max(order).alias("head")).collect())
+    if not heads:
+        return src.select(F.lit(0).alias("bucket"), F.lit(False).alias("tail"), "id", "text")
     after = [(heads[i - 1][0], h[1], h[2]) for i, h in enumerate(heads)]  # the first bucket follows the last one
     follow = docs.sparkSession.createDataFrame(after, "bucket int, head long, md5 string")
     tails = src.join(

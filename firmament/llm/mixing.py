@@ -6,7 +6,7 @@ the nonnegative solution of a least-squares problem: the sum over documents of r
 target of each domain. Projected gradient steps solve it; a step needs one sum per domain over a table of a few numbers
 per document, and the rates follow from the steps so far, so nothing else is kept between steps.
 
-Null and empty texts have no tokens, the domains' shares in the sample as probabilities, and rate ``least``'s start of 1.
+Null and empty texts have no tokens, the domains' shares in the sample as probabilities, and the rate those give.
 Rows with a null domain are not fitted. A domain outside the targets is no domain. Without labelled rows all domains are
 equally likely. Repeated rows are documents of their own.
 """
@@ -106,10 +106,11 @@ class Rates:
         for _ in range(STEPS):
             rate = rates.column()
             now = members.agg(*(F.sum(n * F.col(f"p_{i}") * rate).alias(f"t{i}") for i in range(k))).first()
-            rates.totals = [now[f"t{i}"] for i in range(k)]
+            before, rates.totals = rates.totals, [now[f"t{i}"] for i in range(k)]
+            moved = max(abs(a - b) for a, b in zip(before, rates.totals, strict=True))
             off = [a - b for a, b in zip(rates.totals, target, strict=True)]
-            if max(abs(o) for o in off) <= TOLERANCE * tokens:
-                break
+            if max(abs(o) for o in off) <= TOLERANCE * tokens or rates.steps and moved <= TOLERANCE * tokens:
+                break  # met, or as near as rates from ``least`` on can come
             rates.steps.append([step * m[i] * off[i] for i in range(k)])
         return rates
 
