@@ -37,7 +37,7 @@ def array_quantile(sorted_xs: Column, q: float) -> Column:
 
 
 def clip_array(xs: Column, lo: Column, hi: Column) -> Column:
-    return F.transform(xs, lambda v: F.least(F.greatest(v, lo), hi))
+    return F.transform(xs, lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, lo), hi)))
 
 
 def verdict(stat: Column, p: Column, a_better: str = "model_a better", b_better: str = "model_b better") -> Column:

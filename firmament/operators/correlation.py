@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions.linalg import correlation, top_pairs
 from firmament.operators.graph import SNAPSHOT_KEY
+from firmament.operators.panel import UNKNOWN
 
 MIN_ROWS = 60
 MIN_LINKED = 5
@@ -27,6 +28,8 @@ def windows_before(series: DataFrame, snaps: DataFrame, calendar: DataFrame, win
     date comes from laying the calendar's steps over the snapshot dates.
     """
     length = F.lit(window) if window else F.col("win")
+    if "sector" in series.columns:
+        series = series.withColumn("sector", F.coalesce("sector", F.lit(UNKNOWN)))
     ends = rows_before(snaps, calendar).where(F.col("end") > 0)
     size = F.least(F.col("end"), length)
     # snapshot dates are listed once per row of the small side and attached to every series

@@ -52,7 +52,7 @@ def rolling_snapshots(edges: DataFrame, base_date: str, windows: tuple[int, ...]
 
     covered = F.concat(*[covered_by(w) for w in windows])
     return (
-        daily.where(offset >= 0)
+        daily
         .withColumn("_s", F.explode(covered))
         .select(F.date_add(F.to_date(F.lit(base_date)), F.col("_s.i") * stride).alias("snap_date"),
                 F.col("_s.win").alias("win"), "layer", "src", "dst", "c")

@@ -37,13 +37,14 @@ def score(predictions: DataFrame) -> DataFrame:
     """
     truth, found = F.col("has_relation"), F.col("predicted").isNotNull()
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    both = predictions.unionByName(predictions.withColumn("panel", F.lit("all")))
     p, r = F.col("precision"), F.col("recall")
     return (
-        both.groupBy("extractor", "panel").agg(
+        predictions.groupingSets([["extractor", "panel"], ["extractor"]], "extractor", "panel").agg(
+            F.grouping("panel").alias("_all"),
             F.count_if(found).alias("found"), F.count_if(truth & found).alias("tp"),
             F.count_if(~truth & found).alias("fp"), F.count_if(truth & ~found).alias("fn"),
             F.count_if(truth & found & (F.col("true_type") == F.col("predicted"))).alias("type_ok"))
+        .withColumn("panel", F.when(F.col("_all") == 1, "all").otherwise(F.col("panel"))).drop("_all")
         .withColumn("precision", F.try_divide(tp, tp + fp))
         .withColumn("recall", F.try_divide(tp, tp + fn))
         .withColumn("f1", F.when((tp > 0) & (p + r > 0), 2 * p * r / (p + r)).otherwise(0.0))

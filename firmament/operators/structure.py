@@ -51,7 +51,7 @@ def clustering(graph: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(graph: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(graph: DataFrame) -> DataFrame:
     """``(snap_date, win, node, component)``; the component is its smallest node.
 
     Each round contracts the graph: a node takes the smallest label next to it,
@@ -64,7 +64,7 @@ def connected_components(graph: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(graph.where(F.col("weight") > 0).select(*key, "src", "dst").distinct(), "cc-edges")
     labels = both_ways(edges).select(*key, F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     labels = materialize(labels, "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         near = both_ways(edges).groupBy(*key, F.col("src").alias("node")).agg(F.min("dst").alias("low"))
         near = near.select(*key, "node", F.least("low", "node").alias("low"))
         hop = near.select(*key, F.col("node").alias("low"), F.col("low").alias("lower"))
@@ -81,7 +81,6 @@ def connected_components(graph: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(*key, F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct(), "cc-edges")
         if edges.isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def component_sizes(graph: DataFrame) -> DataFrame:

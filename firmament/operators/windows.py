@@ -18,9 +18,18 @@ WINSOR = 0.01
 
 
 def firm_series(panel: DataFrame, value: str = "x", keys: tuple[str, ...] = ("pos", "firm")) -> DataFrame:
-    """One row per firm; ``xs[i]`` is the value at t = i. Needs a dense panel."""
+    """One row per firm; ``xs[i]`` is the value at t = i, NULL before the firm's first t.
+
+    From its first to its last t a firm needs one row for each t; a gap or a
+    repeated t is an error. Values may be NULL.
+    """
     pairs = F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("v"))))
-    return panel.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias("xs"))
+    made = panel.groupBy(*keys).agg(F.transform(pairs, lambda s: s["v"]).alias("xs"), F.min("t").alias("_lo"),
+                                    F.max("t").alias("_hi"), F.count_distinct("t").alias("_n"))
+    dense = (F.size("xs") == F.col("_hi") - F.col("_lo") + 1) & (F.size("xs") == F.col("_n"))
+    lead = F.array_repeat(F.lit(None).cast(panel.schema[value].dataType), F.col("_lo").cast("int"))
+    xs = F.when(dense, F.concat(lead, "xs")).otherwise(F.raise_error(F.lit("a firm's series has a gap or a repeated t")))
+    return made.select(*keys, xs.alias("xs"))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,10 +49,16 @@ def refit_windows(series: DataFrame, lookback: int = LOOKBACK, refit_every: int
     ``w``   the ``lookback`` values strictly before the refit day,
     ``z``   the value before each forecast day, ``y`` the value on it; both
             cover the days until the next refit.
+
+    A series that starts late gets its first refit ``lookback`` values after its
+    start, on the same grid of refit days.
     """
-    t0 = max(lookback, start)
+    first = F.coalesce(F.array_position(F.transform("xs", lambda v: v.isNotNull()), True), F.lit(1)).cast("int") - 1
+    base = max(lookback, start)
+    late = F.greatest(first + F.lit(lookback - base), F.lit(0))
+    t0 = F.lit(base) + F.ceil(late / F.lit(refit_every)).cast("int") * refit_every
     last = F.size("xs") - 1
-    refits = F.when(last >= t0, F.sequence(F.lit(t0), last, F.lit(refit_every)))
+    refits = F.when(last >= t0, F.sequence(t0, last, F.lit(refit_every)))
     keys = [c for c in series.columns if c != "xs"]
     r = F.col("refit")
     n = F.least(F.lit(refit_every), F.size("xs") - r)
@@ -56,12 +71,18 @@ def refit_windows(series: DataFrame, lookback: int = LOOKBACK, refit_every: int
 
 
 def winsorized(w: Column, q: float = WINSOR) -> Column:
-    """Clip an array at its own interpolated ``q`` and ``1 - q`` quantiles."""
+    """Clip an array at its own interpolated ``q`` and ``1 - q`` quantiles; NULLs take no part and stay."""
     def clip(s):
         ends = F.struct(array_quantile(s, q).alias("lo"), array_quantile(s, 1.0 - q).alias("hi"))
         return let(ends, lambda e: clip_array(w, e["lo"], e["hi"]))
 
-    return let(F.sort_array(w), clip)
+    return let(F.sort_array(F.array_compact(w)), clip)
+
+
+def complete(windows: DataFrame) -> DataFrame:
+    """Refuses windows with missing cells: a fit on them would be silently wrong."""
+    missing = F.exists("w", lambda v: v.isNull())
+    return windows.withColumn("w", F.when(missing, F.raise_error(F.lit("a training window has missing cells"))).otherwise(F.col("w")))
 
 
 def with_winsorized(windows: DataFrame, q: float = WINSOR) -> DataFrame:
@@ -73,6 +94,7 @@ def with_ar_fit(windows: DataFrame) -> DataFrame:
 
     Where the lag is constant (to rounding) the minimum-norm solution is used.
     """
+    windows = complete(windows)
     m = F.size("w") - 1
     mz, my = array_sum(F.col("_z")) / m, array_sum(F.col("_y")) / m
     dev = F.zip_with("_z", "_y", lambda z, y: F.struct(

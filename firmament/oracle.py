@@ -206,8 +206,9 @@ def graph_ols(out: str, links: str) -> str:
 CODE = """(CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 2 ELSE 4 END
        + CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END)"""
 PAIRS = f"""slots AS (
-  SELECT l_orderkey AS o, l_linenumber AS ln, min(l_suppkey) AS firm, min(l_shipdate) AS ts, min({CODE}) AS code,
-         max(l_discount) AS disc FROM lineitem GROUP BY 1, 2),
+  SELECT l_orderkey AS o, l_shipdate AS ts, {CODE} AS code, l_discount AS disc, l_suppkey AS firm,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_shipdate, l_partkey, l_quantity,
+           l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS ln FROM lineitem),
 pairs AS (
   SELECT a.o, a.ln, a.ts, a.code, a.disc, a.firm AS firm_a, b.firm AS firm_b
   FROM slots a JOIN slots b ON a.o = b.o AND b.ln = a.ln + 1 WHERE a.firm <> b.firm)"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmament.operators import panel as P
@@ -28,6 +28,8 @@ PHRASES = [
     ("", " and ", " report quarterly sales"),
     ("Weekly roundup: ", " to acquire ", ""),
 ]
+LINE_ORDER = ["l_linenumber", "l_suppkey", "l_shipdate", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus"]
 RELATION_OF_CODE = ["competitor", "partnership", "supplier", "acquisition"]
 
 
@@ -106,23 +108,22 @@ def market_returns(c: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Firms of consecutive line numbers of an order.
+    """Each line item of an order with the next one's firm: ``seq`` numbers an order's lines.
 
-    Lines sharing a number collapse first, and the join key is (order, line
-    number): an order of any size spreads over many keys and each line meets one
-    other line.
+    Lines follow each other by line number, then supplier and the other columns,
+    so lines sharing a number all take part and a pair's date, code and discount
+    come from one line. An order's lines are sorted together.
     """
     li = table(spark, sf_dir, "lineitem")
     code = (
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 2).otherwise(4)
         + F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
     )
-    slot = li.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_suppkey").alias("firm"), F.min("l_shipdate").alias("ts"), F.min(code).alias("code"),
-        F.max("l_discount").alias("disc"))
-    nxt = slot.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("firm").alias("firm_b"))
-    return slot.join(nxt, ["l_orderkey", "l_linenumber"]).where(F.col("firm") != F.col("firm_b")).withColumnRenamed(
-        "firm", "firm_a")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    return li.select(
+        "l_orderkey", F.row_number().over(w).alias("seq"), F.col("l_shipdate").alias("ts"), code.alias("code"),
+        F.col("l_discount").alias("disc"), F.col("l_suppkey").alias("firm_a"), F.lead("l_suppkey").over(w).alias("firm_b"),
+    ).where(F.col("firm_a") != F.col("firm_b"))
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         line_pairs(spark, sf_dir).join(a, "firm_a").join(b, "firm_b")
         .select(
-            F.concat_ws("/", F.lit("order"), "l_orderkey", "l_linenumber").alias("article_id"),
+            F.concat_ws("/", F.lit("order"), "l_orderkey", "seq").alias("article_id"),
             "ts", "code", "disc", "firm_a", "firm_b", "name_a", "name_b",
             F.concat(pre, "name_a", mid, "name_b", post).alias("title"),
             F.coalesce(F.concat(truth, F.lit(": "), "name_a", F.lit("-"), "name_b"), F.lit("none")).alias("label"),

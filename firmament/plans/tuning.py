@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmament.functions.linalg import fit_sparse
@@ -22,16 +22,16 @@ def expanding_folds(n: int, k: int = N_SPLITS) -> list[tuple[int, int]]:
     return [(first + i * size, first + (i + 1) * size) for i in range(k)]
 
 
-def oos_r2(pred, truth):
-    return 1.0 - float(((truth - pred) ** 2).sum() / (truth ** 2).sum())
+def fold_sums(pred: np.ndarray, truth: np.ndarray) -> dict[str, float]:
+    """What the scores of a fold are made of: squares of errors and values, calls and those that were right."""
+    return {"sse": float(np.square(truth - pred).sum()), "sst": float(np.square(truth).sum()),
+            "calls": float(np.count_nonzero(pred)), "hits": float(np.count_nonzero((pred * truth > 0) & (pred != 0)))}
 
 
-def directional_accuracy(pred, truth):
-    called = pred != 0
-    return float((np.sign(pred[called]) == np.sign(truth[called])).mean()) if called.any() else 0.5
-
-
-SCORERS = {"r2": oos_r2, "dir_acc": directional_accuracy}
+def fold_scores() -> dict[str, Column]:
+    """Scores of a fold from its sums; without a call, direction is a coin's."""
+    return {"r2": 1 - F.col("sse") / F.col("sst"),
+            "dir_acc": F.when(F.col("calls") > 0, F.col("hits") / F.col("calls")).otherwise(0.5)}
 
 
 def tuning_windows(series: DataFrame, lookback: int, n_windows: int = N_WINDOWS) -> DataFrame:
@@ -40,8 +40,8 @@ def tuning_windows(series: DataFrame, lookback: int, n_windows: int = N_WINDOWS)
     step = (T - 1 - lookback) / F.lit(float(n_windows - 1))
     ends = F.transform(F.sequence(F.lit(0), F.lit(n_windows - 1)),
                        lambda i: F.floor(F.lit(lookback) + i * step).cast("int"))
-    return series.select("pos", "firm", "xs", F.explode(F.array_distinct(ends)).alias("window_end")).select(
-        "pos", "firm", "window_end", F.slice("xs", F.col("window_end") - lookback + 1, lookback).alias("w"))
+    return series.select("pos", "firm", "xs", F.posexplode(ends).alias("window", "window_end")).select(
+        "pos", "firm", "window", "window_end", F.slice("xs", F.col("window_end") - lookback + 1, lookback).alias("w"))
 
 
 def tune(series: DataFrame, lookback: int, alphas: list[float] = ALPHAS, l1_ratios: list[float] = L1_RATIOS,
@@ -52,33 +52,35 @@ def tune(series: DataFrame, lookback: int, alphas: list[float] = ALPHAS, l1_rati
     """
     grid = F.array(*[F.struct(F.lit(l).alias("l1_ratio"), F.lit(a).alias("alpha")) for l in l1_ratios for a in alphas])
     jobs = tuning_windows(series, lookback, n_windows).withColumn("g", F.explode(grid)).select(
-        "g.l1_ratio", "g.alpha", "window_end", "pos", "w")
+        "g.l1_ratio", "g.alpha", "window", "window_end", "pos", "w")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         l1, alpha = float(pdf["l1_ratio"].iloc[0]), float(pdf["alpha"].iloc[0])
         W = np.stack(pdf["w"].to_numpy()).T
         Z, Y = W[:-1], W[1:]
-        scores = {name: [] for name in SCORERS}
+        kept = (fit_sparse(W, alpha, l1)[1] != 0).sum() / W.shape[1]
+        rows = []
         for train, end in expanding_folds(len(Z)):
             a, B = fit_sparse(W[: train + 1], alpha, l1)
-            pred = a + Z[train:end] @ B.T
-            for name, fn in SCORERS.items():
-                scores[name].append(fn(pred, Y[train:end]))
-        kept = (fit_sparse(W, alpha, l1)[1] != 0).sum() / W.shape[1]
-        return pd.DataFrame([{
-            "l1_ratio": l1, "window_end": int(pdf["window_end"].iloc[0]), "alpha": alpha,
-            **{name: float(np.mean(v)) for name, v in scores.items()}, "nonzero_per_firm": float(kept)}])
+            rows.append({"l1_ratio": l1, "window": int(pdf["window"].iloc[0]), "window_end": int(pdf["window_end"].iloc[0]),
+                         "alpha": alpha, "nonzero_per_firm": float(kept), **fold_sums(a + Z[train:end] @ B.T, Y[train:end])})
+        return pd.DataFrame(rows)
 
-    return jobs.groupBy("l1_ratio", "window_end", "alpha").applyInPandas(
-        score, "l1_ratio double, window_end int, alpha double, r2 double, dir_acc double, nonzero_per_firm double")
+    folds = jobs.groupBy("l1_ratio", "window", "alpha").applyInPandas(
+        score, "l1_ratio double, window int, window_end int, alpha double, nonzero_per_firm double, "
+               "sse double, sst double, calls double, hits double")
+    return folds.groupBy("l1_ratio", "window", "window_end", "alpha").agg(
+        *(F.avg(c).alias(name) for name, c in fold_scores().items()), F.first("nonzero_per_firm").alias("nonzero_per_firm")).drop("window")
 
 
 def mean_curve(scores: DataFrame, criterion: str) -> DataFrame:
-    """alpha by l1_ratio table of the mean score."""
+    """alpha by l1_ratio table of the mean score, and of the coefficients kept per firm."""
     ratios = [str(r) for r in L1_RATIOS]
-    return scores.groupBy("alpha").pivot("l1_ratio", L1_RATIOS).agg(F.avg(criterion)).select(
-        "alpha", *[F.col(f"`{r}`").alias(f"l1_{r.replace('.', '_')}") for r in ratios])
+    kept = "nonzero_per_firm"
+    wide = scores.groupBy("alpha").pivot("l1_ratio", L1_RATIOS).agg(F.avg(criterion).alias("score"), F.avg(kept).alias("kept"))
+    return wide.select("alpha", *[F.col(f"`{r}_{a}`").alias(f"{b}_{r.replace('.', '_')}") for a, b in (("score", "l1"), ("kept", "kept"))
+                                  for r in ratios])
 
 
 def choose_alpha(scores: DataFrame, criterion: str = "dir_acc") -> DataFrame:

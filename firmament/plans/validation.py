@@ -18,10 +18,11 @@ STEP = 5
 def lead_lag_panel(spark: SparkSession, T: int = 700, N: int = 15, strength: float = 0.5,
                    n_linked: int | None = None, seed: int = 1) -> DataFrame:
     """``(t, pos, firm, x)``: firm i follows firm i-1 by one day among the first ``n_linked``."""
-    x = np.random.default_rng(seed).normal(0.0, 0.01, (T, N))
-    last = N if n_linked is None else n_linked
-    for day in range(1, T):
-        x[day, 1:last] = x[day, 1:last] + strength * x[day - 1, : last - 1]
+    noise = np.random.default_rng(seed).normal(0.0, 0.01, (T, N))
+    linked = N if n_linked is None else n_linked
+    x = noise.copy()
+    for k in range(1, linked):  # what reaches a firm from the one k places before it
+        x[k:, k:linked] += strength ** k * noise[:-k, :linked - k]
     t, pos = np.divmod(np.arange(T * N), N)
     return spark.createDataFrame(
         pd.DataFrame({"t": t.astype("int32"), "pos": pos.astype("int32"), "firm": pos, "x": x.ravel()}),

@@ -87,19 +87,17 @@ def refit_graphs(refits: DataFrame, calendar: DataFrame, graphs: dict[str, DataF
 
 def walk_forward(series: DataFrame, specs: list[Spec], lookback: int = Wn.LOOKBACK,
                  refit_every: int = Wn.REFIT_EVERY, start: int = 0, winsor: float | None = Wn.WINSOR,
-                 neighbours: DataFrame | None = None, max_firms: int = 4000) -> DataFrame:
+                 neighbours: DataFrame | None = None) -> DataFrame:
     """Coefficients and forecasts: ``(model, refit, pos, firm, intercept, coefs, pred, y)``.
 
     A group is one (model, refit): ``universe x lookback`` values. The joint
-    models couple every firm with every other, so the universe must be a listed
-    one; ``max_firms`` is checked before anything is grouped. For a panel of
-    unlimited width use :func:`ar_walk_forward`.
+    models couple every firm with every other, so a group's memory is the square
+    of the universe the caller lists. For a panel of unlimited width use
+    :func:`ar_walk_forward`.
     """
-    n_firms = series.count()
-    if n_firms > max_firms:
-        raise ValueError(f"joint models need a listed universe, got {n_firms} firms")
     # one shuffle of raw windows by refit day; the grouping below needs no other
     w = Wn.spread(Wn.refit_windows(series, lookback, refit_every, start), "refit")
+    w = Wn.complete(w)
     if winsor:
         w = Wn.with_winsorized(w, winsor)
     jobs = F.array(*[F.struct(F.lit(s.label).alias("model"), F.lit(s.graph).cast("string").alias("graph"))

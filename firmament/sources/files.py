@@ -8,11 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from firmament import schemas as S
 from firmament.operators.panel import unpivot_matrix
 
 
+NEWS_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
+
+
 def read_matrix(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
     """Wide CSV, firms as rows and ``X<yyyymmdd>`` day columns, as ``(date, firm, value)``.
 
@@ -53,11 +57,13 @@ def load_panel(spark: SparkSession, path: str, universe: DataFrame | None = None
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
-    """Raw news CSV; only the five declared columns are parsed."""
-    return (
-        spark.read.option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"')
-        .option("enforceSchema", False).csv(path).select(*[f.name for f in S.NEWS_CSV.fields])
-    )
+    """Raw news CSV, line breaks inside quotes included; a file is read by one task, so ingest many files."""
+    return spark.read.options(**NEWS_OPTIONS).csv(path).select(*[f.name for f in S.NEWS_CSV.fields])
+
+
+def news_file_schema(spark: SparkSession, path: str) -> StructType:
+    """All columns of the files' header, as text: columns are told by name, not by place."""
+    return spark.read.options(**NEWS_OPTIONS).csv(path).schema
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from firmament import schemas as S
+from firmament.operators.news import LAST_DAY, filter_news
 from firmament.sources import extractor as X
+from firmament.sources.files import NEWS_OPTIONS, news_file_schema
 
 
-def stream_news(spark: SparkSession, folder: str, tickers: DataFrame, max_files: int = 8) -> DataFrame:
-    """Raw news files as they arrive, kept when tagged with a panel ticker."""
-    raw = spark.readStream.schema(S.NEWS_CSV).option("header", True).option("escape", '"').option(
-        "maxFilesPerTrigger", max_files).csv(folder)
-    return raw.join(tickers.select(F.col("firm").alias("Stock_symbol")), "Stock_symbol", "left_semi")
+def stream_news(spark: SparkSession, folder: str, tickers: DataFrame, max_files: int = 8,
+                last_day: str = LAST_DAY) -> DataFrame:
+    """News files as they arrive, filtered like the batch; the first files' header gives the columns."""
+    raw = spark.readStream.schema(news_file_schema(spark, folder)).options(**NEWS_OPTIONS).option(
+        "maxFilesPerTrigger", max_files).csv(folder).select(*[f.name for f in S.NEWS_CSV.fields])
+    return filter_news(raw, tickers, last_day)
 
 
 def stream_extraction(articles: DataFrame, cache_path: str, checkpoint: str,

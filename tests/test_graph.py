@@ -142,3 +142,24 @@ def test_tail_probabilities():
     assert student_two_sided(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-10)
     assert student_two_sided(0.0, 5) == 1.0
     assert student_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-12)
+
+
+def test_edges_before_the_base_date_count(spark):
+    rows = [("1994-12-01", "L", 1, 2, 1.0), ("1995-01-01", "L", 1, 2, 1.0), ("1993-01-01", "L", 1, 2, 1.0)]
+    e = spark.createDataFrame(rows, "date string, layer string, src long, dst long, conf double").withColumn("date", F.to_date("date"))
+    got = {(str(r["snap_date"]), r["win"]): r["weight"] for r in G.rolling_snapshots(e, "1995-01-02", (20, 252), 20).collect()}
+    assert got["1995-01-02", 252] == 2.0 and got["1995-01-02", 20] == 1.0 and ("1995-01-22", 20) not in got
+
+
+def test_unknown_sectors_are_one_sector(spark):
+    from firmament.operators import correlation as K
+    series = spark.createDataFrame([(i, i, None if i < 2 else "A", [float((t * (i + 2)) % 7) for t in range(80)]) for i in range(4)],
+                                   "pos int, firm long, sector string, xs array<double>")
+    cal = spark.createDataFrame([(t,) for t in range(80)], "t int").select("t", F.date_add(F.to_date(F.lit("2020-01-01")), F.col("t")).alias("date"))
+    snaps = spark.createDataFrame([(60,)], "win int").select(F.to_date(F.lit("2020-03-20")).alias("snap_date"), "win")
+    w = K.windows_before(series, snaps, cal)
+    edges = snaps.select("snap_date", "win", F.lit("L").alias("layer"), F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("src"), F.lit(b).cast("long").alias("dst"))
+                                                                                       for a, b in ((0, 1), (0, 2), (2, 3))])).alias("e")).select("snap_date", "win", "layer", "e.*")
+    same = {(r["src"], r["dst"]): r["same"] for r in K.linked_correlations(w, edges).collect()}
+    assert same == {(0, 1): True, (0, 2): False, (2, 3): True}
+    assert {r["same"]: r["pairs"] for r in K.strata_totals(w).collect()} == {True: 2, False: 4}

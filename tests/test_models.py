@@ -173,6 +173,48 @@ def test_winsorized_quantiles_match_numpy(spark, W):
     assert np.allclose(np.array([r["w"] for r in got]).T, want, atol=1e-15)
 
 
-def test_wide_universe_is_refused_for_joint_models(spark, W):
-    with pytest.raises(ValueError):
-        WF.walk_forward(Wn.firm_series(_toy(spark, W)), WF.BASELINES[:1], 60, 7, max_firms=3)
+def test_late_start_keeps_its_days(spark):
+    rows = [(t, 0, 0, float(t)) for t in range(5, 40)]
+    s = Wn.firm_series(spark.createDataFrame(rows, "t int, pos int, firm long, x double"))
+    w = {r["refit"]: r for r in Wn.refit_windows(s, 10, 4).collect()}
+    assert min(w) == 18 and w[18]["w"] == [float(t) for t in range(8, 18)] and w[18]["y"] == [18.0, 19.0, 20.0, 21.0]
+
+
+def test_gaps_and_repeats_are_refused(spark):
+    for days in ([0, 1, 3], [0, 1, 1, 2], [0, 1, 1, 3]):
+        df = spark.createDataFrame([(t, 0, 0, 1.0) for t in days], "t int, pos int, firm long, x double")
+        with pytest.raises(Exception, match="gap"):
+            Wn.firm_series(df).collect()
+
+
+def test_missing_cells_stay_and_are_refused_by_fits(spark):
+    x = [float(v) for v in range(100)]
+    x[50] = None
+    s = spark.createDataFrame([(0, 0, [*x, 1.0])], "pos int, firm long, xs array<double>")
+    got = Wn.with_winsorized(Wn.refit_windows(s, 100, 1)).first()["w"]
+    held = np.array([v for v in x if v is not None])
+    want = np.clip(held, *np.quantile(held, [0.01, 0.99]))
+    assert got[50] is None and np.allclose([v for v in got if v is not None], want)
+    with pytest.raises(Exception, match="missing cells"):
+        WF.walk_forward(s, WF.BASELINES[:1], 100, 1).collect()
+    with pytest.raises(Exception, match="missing cells"):
+        Wn.with_ar_fit(Wn.refit_windows(s, 100, 1)).collect()
+
+
+def test_unfinished_fit_is_an_error():
+    from firmament.functions import linalg as L
+    rng = np.random.default_rng(0)
+    with pytest.raises(ArithmeticError):
+        L._finish(np.eye(4) + 0.1, rng.normal(size=4), np.full(4, 1e-6), np.zeros(4), np.ones(4, bool), 1)
+
+
+def test_lead_lag_panel_follows_day_by_day(spark):
+    from firmament.plans import validation as V
+    got = np.zeros((30, 6))
+    for r in V.lead_lag_panel(spark, 30, 6, 0.5, 4, seed=7).collect():
+        got[r["t"], r["firm"]] = r["x"]
+    want = np.random.default_rng(7).normal(0.0, 0.01, (30, 6))
+    for t in range(1, 30):
+        for i in range(1, 4):
+            want[t, i] += 0.5 * want[t - 1, i - 1]
+    assert np.allclose(got, want, atol=1e-15)
