@@ -56,10 +56,12 @@ def market(n: int = UNIVERSE_N) -> tuple[str, ...]:
 
 ALL_FIRMS = "universe AS (SELECT firm FROM sectors WHERE sector <> 'Unknown')"
 
-WINDOWS = f"""refits AS (
-  SELECT CAST(unnest(generate_series({LOOKBACK}, (SELECT max(t) FROM calendar), {REFIT_EVERY})) AS INT) AS refit),
+
+def windows(lookback: int = LOOKBACK) -> str:
+    return f"""refits AS (
+  SELECT CAST(unnest(generate_series({lookback}, (SELECT max(t) FROM calendar), {REFIT_EVERY})) AS INT) AS refit),
 raw_win AS (
-  SELECT refit, firm, t, x FROM refits JOIN panel ON t BETWEEN refit - {LOOKBACK} AND refit - 1),
+  SELECT refit, firm, t, x FROM refits JOIN panel ON t BETWEEN refit - {lookback} AND refit - 1),
 bounds AS (
   SELECT refit, firm, quantile_cont(x, CAST(0.01 AS DOUBLE)) AS lo, quantile_cont(x, CAST(0.99 AS DOUBLE)) AS hi
   FROM raw_win GROUP BY ALL),
@@ -68,13 +70,18 @@ win AS (
 lagged AS (SELECT refit, firm, t, w, lag(w) OVER (PARTITION BY refit, firm ORDER BY t) AS z FROM win),
 days AS (
   SELECT p.firm, p.t, p.x, lag(p.x) OVER (PARTITION BY p.firm ORDER BY p.t) AS x_last,
-         CAST({LOOKBACK} + ((p.t - {LOOKBACK}) // {REFIT_EVERY}) * {REFIT_EVERY} AS INT) AS refit FROM panel p)"""
+         CAST({lookback} + ((p.t - {lookback}) // {REFIT_EVERY}) * {REFIT_EVERY} AS INT) AS refit FROM panel p)"""
+
 
-AR = f"""ar_coef AS (
+def ar_model(lookback: int = LOOKBACK) -> str:
+    return f"""ar_coef AS (
   SELECT refit, firm, regr_slope(w, z) AS b, regr_intercept(w, z) AS a FROM lagged WHERE z IS NOT NULL GROUP BY ALL),
 ar AS (
   SELECT 'AR' AS model, t, refit, firm, x, a + b * x_last AS pred FROM days JOIN ar_coef USING (refit, firm)
-  WHERE t >= {LOOKBACK})"""
+  WHERE t >= {lookback})"""
+
+
+WINDOWS, AR = windows(), ar_model()
 
 
 def normal_p(z: str) -> str:
@@ -118,12 +125,17 @@ m0 AS (
 mom AS (
   SELECT *, sharpe / sqrt((1 - skew * sharpe + (kurt - 1) * sharpe * sharpe / 4) / (n - 1)) AS z FROM m0)"""
 
-ECON = f"""econ AS (
-  SELECT model, {rd("sharpe * sqrt(52.0::DOUBLE)")} AS ann_sharpe, {rd(normal_p("z"))} AS sharpe_p,
+
+def econ(periods: float = 52.0) -> str:
+    return f"""econ AS (
+  SELECT model, {rd(f"sharpe * sqrt({periods!r}::DOUBLE)")} AS ann_sharpe, {rd(normal_p("z"))} AS sharpe_p,
          {rd("total / greatest(trades, 1) * 1e4::DOUBLE", 4)} AS ppt_bps,
          {rd("hits / trades")} AS hit_ratio FROM mom)"""
 
 
+ECON = econ()
+
+
 def dm(src: str, pairs: list[tuple[str, str]], by: str = "", a_name="model_a better", b_name="model_b better") -> str:
     key = f"{by}, " if by else ""
     listed = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
@@ -178,7 +190,7 @@ var AS (
   JOIN var_pred p ON p.refit = d.refit AND p.t = d.t AND p.k = u.pos)"""
 
 
-def graph_ols(out: str, links: str) -> str:
+def graph_ols(out: str, links: str, lookback: int = LOOKBACK) -> str:
     """Hard-graph forecasts; ``links(model, refit, a, b)`` holds both directions of every edge in force."""
     return f"""{out}_models AS (SELECT DISTINCT model FROM {out}_names),
 {out}_set AS (
@@ -200,7 +212,7 @@ def graph_ols(out: str, links: str) -> str:
   FROM {out}_cols c JOIN days d ON d.firm = c.a AND d.refit = c.refit
   JOIN days n ON n.firm = c.b AND n.t = d.t
   JOIN {out}_b b ON b.sys = c.sys AND b.j = c.j JOIN {out}_b b0 ON b0.sys = c.sys AND b0.j = 0
-  WHERE d.t >= {LOOKBACK} GROUP BY ALL)"""
+  WHERE d.t >= {lookback} GROUP BY ALL)"""
 
 
 CODE = """(CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 2 ELSE 4 END
@@ -534,6 +546,23 @@ def target_out(kind: str) -> str:
     return f"SELECT t, firm, {rd('target')} AS target FROM tg_{kind}"
 
 
+METRIC_OUT = "SELECT model, {}, ann_sharpe, sharpe_p, ppt_bps, hit_ratio FROM stat JOIN econ USING (model)"
+DAY_MARKET = tuple(p.replace("'week'", "'day'").replace("calendar", "day_calendar").replace("panel AS", "day_panel AS") for p in market())
+DAY_RETURNS = "chosen AS (SELECT t, date, firm, x FROM day_panel)"
+DAY_VOLUME = target("volume", "SELECT t, firm, coalesce(volume, 0) AS v FROM returns") + """,
+chosen AS (SELECT t, date, firm, target AS x FROM tg_volume JOIN day_calendar USING (t))"""
+
+
+def experiment(chosen: str, horizon: int, lookback: int, periods: float) -> str:
+    """AR and the hard graphs on blocks of the chosen daily panel."""
+    return sql(*DAY_MARKET, chosen, f"""panel AS (
+  SELECT CAST((t - (SELECT min(t) FROM chosen)) // {horizon} AS INT) AS t, firm, min(date) AS date, sum(x) AS x FROM chosen GROUP BY ALL),
+calendar AS (SELECT t, min(date) AS date FROM panel GROUP BY t)""", windows(lookback), snapshots(252), ASOF, ar_model(lookback),
+               links("hard", HARD_CASES), graph_ols("hard", "hard_links", lookback),
+               "everything AS (SELECT * FROM ar UNION ALL SELECT * FROM hard)", stat_metrics("everything"), pnl("everything"), MOMENTS,
+               econ(periods), METRIC_OUT.format(STAT_OUT))
+
+
 STRUCT_COLS = ["edges", "density", "mean_degree", "max_degree", "isolated", "components", "largest_comp", "clustering",
                "pct_within_sector", "edge_persistence"]
 STAT_OUT = f"{rd('oos_r2')} AS oos_r2, {rd('mse')} AS mse, {rd('mae')} AS mae, {rd('dir_acc')} AS dir_acc"
@@ -651,6 +680,13 @@ rows_ AS (
                             dm("everything", [("GraphVAR-news-hard", "AR"), ("GraphVAR-news-hard", "GraphVAR-sector-hard"),
                                               ("GraphVAR-news-hard", "CorrGraphVAR-hard"), ("VAR", "AR")]),
                             f"SELECT model_a, model_b, days, {rd('dm')} AS dm, {rd('p')} AS p_value, verdict FROM dm"),
+    "wide_universe_table": sql(*market(60), WINDOWS, snapshots(252), ASOF, AR, VAR, links("hard", HARD_CASES),
+                               graph_ols("hard", "hard_links"), CORR_LINKS, graph_ols("cg", "cg_links"),
+                               "everything AS (SELECT * FROM ar UNION ALL SELECT * FROM var UNION ALL SELECT * FROM hard UNION ALL SELECT * FROM cg)",
+                               stat_metrics("everything"), pnl("everything"), MOMENTS, ECON, METRIC_OUT.format(STAT_OUT)),
+    "comparison_returns_h5": experiment(DAY_RETURNS, 5, 201, 50.4),
+    "comparison_returns_h21": experiment(DAY_RETURNS, 21, 60, 12.0),
+    "comparison_volume_h5": experiment(DAY_VOLUME, 5, 201, 50.4),
     "graph_vs_ar_layer": sql(
         *GRAPH_MARKET, AR, links("hard", {x: f"('{x}')" for x in LAYER_OF_CODE[:4]}), graph_ols("hard", "hard_links"), f"""live AS (SELECT DISTINCT layer, snap_date, src, dst FROM snaps_all
   WHERE layer IN {NEWS_LAYERS} AND {INSIDE} AND snap_date IN (SELECT snap_date FROM force)),

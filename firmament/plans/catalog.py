@@ -469,6 +469,43 @@ def wide_universe_dm(spark, sf):
     return rounded(M.diebold_mariano(_graph_run(spark, sf, C.WIDE, n=60), C.WIDE_PAIRS), dm=6, p_value=6)
 
 
+@query
+def wide_universe_table(spark, sf):
+    """Both metric families of the models on the wide universe that have SQL."""
+    specs = [s for s in C.WIDE if s.label != "NIRVAR"]
+    f = materialize(_graph_run(spark, sf, specs, n=60), "forecasts")
+    return rounded(C.metric_table(f, PERIODS), **METRIC_DIGITS)
+
+
+def _experiment(spark, sf, target: str, horizon: int) -> DataFrame:
+    """AR and the hard graphs on days summed to ``horizon``; a day without trade has volume 0."""
+    m = D.market(spark, sf, grain="day")
+    snap = materialize(_snapshots(spark, sf, (G.WINDOW,)), "snapshots")
+    make = TG.TARGETS[target]
+    if make is None:
+        panel = m.excess
+    else:
+        panel = make(m.returns.withColumn("volume", F.coalesce("volume", F.lit(0.0)))).withColumnRenamed("target", "x")
+    specs = [WF.BASELINES[0], WF.graph_hard("news"), WF.graph_hard("sector")]
+    f = materialize(C.experiment(panel, m.universe, snap, specs, horizon), "forecasts")
+    return rounded(C.metric_table(f, P.periods_per_year(horizon)), **METRIC_DIGITS)
+
+
+@query
+def comparison_returns_h5(spark, sf):
+    return _experiment(spark, sf, "returns", 5)
+
+
+@query
+def comparison_returns_h21(spark, sf):
+    return _experiment(spark, sf, "returns", 21)
+
+
+@query
+def comparison_volume_h5(spark, sf):
+    return _experiment(spark, sf, "volume", 5)
+
+
 @query
 def graph_vs_ar_layer(spark, sf):
     m = D.market(spark, sf)

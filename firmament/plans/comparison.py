@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from firmament.functions.stats import student_p
 from firmament.operators import graph as G
 from firmament.operators import metrics as M
+from firmament.operators import panel as P
 from firmament.operators import windows as Wn
 from firmament.operators.correlation import stratified_gap, windows_before
 from firmament.plans import walkforward as WF
 from firmament.session import materialize
 
+# The configurations, and the pairs that are tested against each other.
 COMPARISON = [
     WF.BASELINES[0],
     WF.BASELINES[2],
@@ -28,7 +30,6 @@ COMPARISON_PAIRS = [
     ("GraphVAR-news-soft", "GraphVAR-sector-soft"), ("GraphVAR-news-hard", "GraphVAR-sector-hard"),
     ("GraphVAR-news-hard", "CorrGraphVAR-hard"),
 ]
-# Only the fast models run on the full universe.
 WIDE = [WF.BASELINES[0], WF.BASELINES[1], WF.BASELINES[5], WF.graph_hard("news"), WF.graph_hard("sector"),
         WF.corr_graph()]
 WIDE_PAIRS = [
@@ -63,6 +64,27 @@ def run(series: DataFrame, specs: list[WF.Spec], calendar: DataFrame, universe:
     return WF.forecast_rows(WF.walk_forward(series, specs, lookback, refit_every, start, neighbours=nb))
 
 
+def on_horizon(panel: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``horizon`` rows counted from the panel's first t, and their calendar ``(t, date)``.
+
+    A target starts when its trailing mean is known, so its first t is not the
+    calendar's. A block is dated, and meets its graph, on its first day.
+    """
+    panel = materialize(panel.select("date", "t", "firm", "x"), "target")  # read for its start, its blocks and their dates
+    first = panel.agg(F.min("t")).scalar()
+    blocks = P.horizon_blocks(panel.withColumn("t", (F.col("t") - first).cast("int")), horizon)
+    return blocks, blocks.groupBy("t").agg(F.min("date").alias("date"))
+
+
+def experiment(panel: DataFrame, universe: DataFrame, snapshots: DataFrame, specs: list[WF.Spec], horizon: int = 1,
+               lookback: int | None = None, refit_every: int = Wn.REFIT_EVERY) -> DataFrame:
+    """Forecasts of all configurations for one target ``(date, t, firm, x)`` at one horizon, graphs on block dates."""
+    blocks, calendar = on_horizon(panel, horizon)
+    series = Wn.firm_series(blocks.join(universe.select("pos", "firm"), "firm"))
+    return run(series, specs, calendar, universe, news_and_sector(snapshots, universe), G.snapshot_dates(snapshots),
+               lookback or P.scaled_lookback(horizon), refit_every)
+
+
 def metric_table(forecasts: DataFrame, periods_per_year: float = 252.0) -> DataFrame:
     return M.statistical_metrics(forecasts).join(M.economic_metrics(forecasts, 1.0, periods_per_year), "model")
 

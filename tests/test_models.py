@@ -1,5 +1,7 @@
 """Models against published values, textbook solutions and their own identities."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +220,22 @@ def test_lead_lag_panel_follows_day_by_day(spark):
         for i in range(1, 4):
             want[t, i] += 0.5 * want[t - 1, i - 1]
     assert np.allclose(got, want, atol=1e-15)
+
+
+def test_degenerate_mixture_falls_back(monkeypatch, W):
+    def degenerate(*_):
+        raise np.linalg.LinAlgError("not positive definite")
+
+    monkeypatch.setattr(L, "_mixture_labels", degenerate)
+    d, labels = L.nirvar_labels(W)
+    assert len(labels) == W.shape[1] and set(labels) <= set(range(d))
+
+
+def test_horizon_blocks_count_from_the_first_t(spark):
+    from firmament.plans.comparison import on_horizon
+
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(t), t, "a", float(t)) for t in range(3, 10)]
+    blocks, calendar = on_horizon(spark.createDataFrame(days, "date date, t int, firm string, x double"), 3)
+    assert sorted((r.t, r.x) for r in blocks.collect()) == [(0, 12.0), (1, 21.0), (2, 9.0)]
+    assert sorted((r.t, r.date) for r in calendar.collect()) == [
+        (0, dt.date(2020, 1, 4)), (1, dt.date(2020, 1, 7)), (2, dt.date(2020, 1, 10))]
