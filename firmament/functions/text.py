@@ -110,24 +110,27 @@ def word_pieces(text: Column) -> Column:
 def boundary_spans(texts: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     """Adds ``start``, ``stop``, ``span``: substrings with a word boundary at both ends.
 
-    These are exactly the strings ``\\bname\\b`` can match, so a dictionary is
-    matched by equality on ``span`` instead of one search per name. ``sizes`` are
-    the numbers of pieces the dictionary's names have; other spans cannot match.
+    These are exactly the strings ``\\bname\\b`` can match for a name with a word character in it, so a dictionary is
+    matched by equality on ``span`` instead of one search per name. ``sizes`` are the numbers of pieces the dictionary's
+    names have; other spans cannot match. Pieces are words and separators in turn, so only single pieces can be separators
+    alone; they are left out. The spans of a text are made in one array and only they are exploded.
     """
     keep = texts.columns
     cut = texts.withColumn("_p", word_pieces(F.col(text))).where(F.size("_p") > 0)
     ends = F.aggregate("_p", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    cut = cut.withColumn("_e", ends).withColumn("_n", F.size("_p"))
-    word = r"(?U)\w"
-    cut = cut.withColumn("_first", F.when(F.element_at("_p", 1).rlike("^" + word), 0).otherwise(1)).withColumn(
-        "_last", F.when(F.element_at("_p", -1).rlike(word + "$"), F.col("_n")).otherwise(F.col("_n") - 1))
-    at = cut.select(*keep, "_e", "_last", F.explode(
-        F.when(F.col("_first") < F.col("_n"), F.sequence("_first", F.col("_n") - 1))).alias("_i"))
-    to = at.select(*keep, "_e", "_last", "_i", F.explode(F.lit(sizes)).alias("_k")).where(
-        F.col("_i") + F.col("_k") <= F.col("_last"))
-    lo, hi = F.get("_e", F.col("_i")), F.get("_e", F.col("_i") + F.col("_k"))
-    return to.select(*keep, lo.alias("start"), hi.alias("stop")).withColumn(
-        "span", F.substring(F.col(text), F.col("start") + 1, F.col("stop") - F.col("start")))
+    word, n = r"(?U)\w", F.size("_p")
+    cut = cut.withColumns({
+        "_e": ends, "_first": F.when(F.element_at("_p", 1).rlike("^" + word), 0).otherwise(1),
+        "_last": F.when(F.element_at("_p", -1).rlike(word + "$"), n).otherwise(n - 1)})
+
+    def from_piece(i: Column) -> Column:
+        fits = F.filter(F.lit(sizes), lambda k: (i + k <= F.col("_last")) & ((k > 1) | ((i - F.col("_first")) % 2 == 0)))
+        return F.transform(fits, lambda k: F.struct(F.get("_e", i).alias("start"), F.get("_e", i + k).alias("stop")))
+
+    starts = F.when(F.col("_first") < n, F.sequence("_first", n - 1))
+    cut = cut.withColumn("_s", F.flatten(F.transform(starts, from_piece)))
+    spans = F.transform("_s", lambda s: s.withField("span", F.substring(F.col(text), s["start"] + 1, s["stop"] - s["start"])))
+    return cut.select(*keep, F.explode(spans).alias("_s")).select(*keep, "_s.start", "_s.stop", "_s.span")
 
 
 def piece_counts(names: DataFrame, name: str = "name") -> list[int]:

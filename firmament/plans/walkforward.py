@@ -95,29 +95,27 @@ def walk_forward(series: DataFrame, specs: list[Spec], lookback: int = Wn.LOOKBA
     of the universe the caller lists. For a panel of unlimited width use
     :func:`ar_walk_forward`.
     """
-    # one shuffle of raw windows by refit day; the grouping below needs no other
-    w = Wn.spread(Wn.refit_windows(series, lookback, refit_every, start), "refit")
-    w = Wn.complete(w)
+    # The short series are dealt by firm, windows made and clipped where they lie, and shuffled once, by (model, refit).
+    w = Wn.complete(Wn.refit_windows(Wn.spread(series, "firm"), lookback, refit_every, start))
     if winsor:
         w = Wn.with_winsorized(w, winsor)
-    jobs = F.array(*[F.struct(F.lit(s.label).alias("model"), F.lit(s.graph).cast("string").alias("graph"))
-                     for s in specs])
-    w = w.withColumn("_job", F.explode(jobs)).select("_job.model", "_job.graph", *w.columns)
-    if neighbours is not None:
-        w = w.join(neighbours, ["graph", "refit", "firm"], "left")
-    else:
-        w = w.withColumn("nbrs", F.lit(None).cast("array<int>"))
+    w = w.withColumn("model", F.explode(F.array(*[F.lit(s.label) for s in specs])))
+    w = Wn.spread(w.select("model", "refit", "pos", "firm", "w", "z", "y"), "model", "refit")
     by_label = {s.label: s for s in specs}
 
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit_group(pdf: pd.DataFrame, near: pd.DataFrame | None = None) -> pd.DataFrame:
+        if pdf.empty:  # neighbours of a refit day without windows
+            return pd.DataFrame(columns=columns)
         pdf = pdf.sort_values("pos")
         spec = by_label[pdf["model"].iloc[0]]
         W = np.stack(pdf["w"].to_numpy()).T
         X = np.stack(pdf["z"].to_numpy())
         linked = np.zeros((len(pdf),) * 2, dtype=bool)
-        for i, nb in enumerate(pdf["nbrs"]):
-            if nb is not None and len(nb):
-                linked[i, np.asarray(nb, dtype=int)] = True
+        if near is not None:
+            row = {firm: i for i, firm in enumerate(pdf["firm"])}
+            for firm, nb in zip(near["firm"], near["nbrs"], strict=True):
+                if firm in row:
+                    linked[row[firm], np.asarray(nb, dtype=int)] = True
         a, B = spec.fit(W, linked=linked, **spec.settings)
         pred = a[:, None] + B @ X
         return pd.DataFrame({
@@ -128,5 +126,11 @@ def walk_forward(series: DataFrame, specs: list[Spec], lookback: int = Wn.LOOKBA
     firm_type = series.schema["firm"].dataType.simpleString()
     schema = (f"model string, refit int, pos int, firm {firm_type}, intercept double, "
               "coefs array<double>, pred array<double>, y array<double>")
-    return w.select("model", "refit", "pos", "firm", "w", "z", "y", "nbrs").groupBy("model", "refit").applyInPandas(
-        fit_group, schema)
+    columns = [c.split()[0] for c in schema.split(", ")]
+    groups = w.groupBy("model", "refit")
+    graphs = {s.graph for s in specs if s.graph is not None}
+    if neighbours is None or not graphs:
+        return groups.applyInPandas(lambda pdf: fit_group(pdf), schema)
+    users = F.create_map(*[x for g in sorted(graphs) for x in (F.lit(g), F.array(*[F.lit(s.label) for s in specs if s.graph == g]))])
+    near = neighbours.select(F.explode(F.try_element_at(users, F.col("graph"))).alias("model"), "refit", "firm", "nbrs")
+    return groups.cogroup(near.groupBy("model", "refit")).applyInPandas(lambda pdf, near: fit_group(pdf, near), schema)

@@ -239,3 +239,27 @@ def test_horizon_blocks_count_from_the_first_t(spark):
     assert sorted((r.t, r.x) for r in blocks.collect()) == [(0, 12.0), (1, 21.0), (2, 9.0)]
     assert sorted((r.t, r.date) for r in calendar.collect()) == [
         (0, dt.date(2020, 1, 4)), (1, dt.date(2020, 1, 7)), (2, dt.date(2020, 1, 10))]
+
+
+def test_windows_are_shuffled_once(spark, W):
+    """With neighbour lists too large to copy, windows still pass one exchange; the series' own is before them."""
+    s = Wn.firm_series(_toy(spark, W))
+    near = spark.createDataFrame([("g", r, 0, [1, 2]) for r in (60, 67, 5000)], "graph string, refit int, firm int, nbrs array<int>")
+    specs = [WF.BASELINES[1], WF.Spec("hard", WF.L.fit_graph_hard, "g")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = WF.walk_forward(s, specs, 60, 7, neighbours=near)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Join" not in plan
+    assert sum("(model#" in x for x in exchanges) == 2  # windows and neighbour lists
+    hard = {(r["refit"], r["firm"]): np.array(r["coefs"]) for r in rows if r["model"] == "hard"}
+    assert {r for r, _ in hard} == {r["refit"] for r in rows} and 5000 not in {r for r, _ in hard}
+    for (refit, firm), b in hard.items():
+        others = set(np.flatnonzero(b)) - {firm}
+        assert others <= ({1, 2} if firm == 0 and refit in (60, 67) else set())
+    assert {1, 2} <= set(np.flatnonzero(hard[60, 0]))

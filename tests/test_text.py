@@ -216,3 +216,16 @@ def test_last_cached_answer_wins(spark):
 def test_pilot_is_reproducible(articles):
     a = [r["article_id"] for r in MN.pilot(articles, 4).collect()]
     assert a == [r["article_id"] for r in MN.pilot(articles.repartition(5), 4).collect()] and len(a) == 4
+
+
+def test_spans_hold_every_match_of_a_name_and_no_lone_separator(spark):
+    texts = ["Acme & Co. buys A-B", " (IBM)  and Acme & Co.", "", "...", "Zed", "caf\u00e9 A-B/A-B caf\u00e9s", "a  b   c"]
+    known = ["Acme", "Acme & Co", "A-B", "IBM", "Zed", "caf\u00e9", "a  b"]
+    names = spark.createDataFrame([(n,) for n in known], "name string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = X.boundary_spans(df, "t", X.piece_counts(names)).collect()
+    got = {(r["i"], r["start"], r["stop"]) for r in rows if r["span"] in known}
+    want = {(i, m.start(), m.start() + len(n)) for i, t in enumerate(texts) for n in known
+            for m in re.finditer(rf"\b(?={re.escape(n)}\b)", t)}
+    assert got == want
+    assert all(re.search(r"\w", r["span"]) and texts[r["i"]][r["start"]:r["stop"]] == r["span"] for r in rows)
