@@ -38,8 +38,10 @@ SPELLED = 7  # so many digits in words make a run worth reading
 _digit = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 RUN = re.compile(rf"(?<![A-Za-z])(?=[pzotfsen0-9])(?:plus[ ,.-]+)?(?:(?:{_digit}|[0-9])[ ,.-]*){{{SPELLED},}}(?<![ ,.-])(?![A-Za-z])", re.I | re.A)
 RUN_PART = re.compile(rf"plus|{_digit}|[0-9]", re.I | re.A)
+SIGN = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]", re.I | re.A)
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I | re.A)
-IN_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+)*( at )[A-Za-z0-9-]+(?:( dot )[A-Za-z0-9-]+)+", re.I | re.A)
+IN_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9._%+-]+)*( at |@)[A-Za-z0-9-]+(?:( dot |\.)[A-Za-z0-9-]+)+", re.I | re.A)
+NAMED = re.compile(r"@| dot |\.[A-Z-]*[A-Z]{2}$", re.I | re.A)  # else "at 5.30" is a host
 
 
 def _homoglyphs() -> dict[int, str]:
@@ -120,19 +122,22 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     """Identifiers that only normalising brings out, as spans of the source."""
     odd = not text.isascii() and not STRANGE.isdisjoint(text)
     low = text.lower()
-    signs = "dot" in low
+    signs = "dot" in low or " at " in low or SIGN.search(text) is not None
     spelled = sum(low.count(w) for w in DIGITS if w != "oh") >= SPELLED // 2
     if not (odd or signs or spelled):
         return []
     tape = Tape(text)
     if odd:
         tape.rewrite([(i, i + 1, "" if c in HIDDEN else LOOKALIKE[ord(c)]) for i, c in enumerate(text) if c in STRANGE])
-    if "dot" in tape.text.lower():
+    if SIGN.search(tape.text):
         tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in BRACKETED.finditer(tape.text)])
+    low = tape.text.lower()
+    if " dot " in low or " at " in low:
         edits = []
         for m in IN_WORDS.finditer(tape.text):
-            edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k.start() + m.start() == m.start(1) else ".")
-                      for k in re.finditer(r" (?:at|dot) ", m.group(), re.I)]
+            if NAMED.search(m.group()):
+                edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k.start() + m.start() == m.start(1) else ".")
+                          for k in re.finditer(r" (?:at|dot) ", m.group(), re.I)]
         tape.rewrite(edits)
     runs = []
     if spelled or odd:

@@ -150,6 +150,16 @@ def test_spans_point_into_the_source(text, want):
     assert pii.spans(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("mail john (at) example.com now", (5, 26)), ("john [at] example.com", (0, 21)), ("john { AT } mail.example.com", (0, 28)),
+    ("john(at)example.com", (0, 19)), ("name at example.com", (0, 19)), ("j.smith at example dot com", (0, 26)),
+    ("john (at) example dot com", (0, 25)), ("john@example dot com", (0, 20)), ("john at mail.example dot com", (0, 28)),
+    ("jоhn (at) example.com", (0, 21)), ("a word (and) a sign (at) noon", None), ("be there at 5.30 or at 10.15", None), ("look at that.", None),
+])
+def test_signs_in_words_need_no_other_dot(text, want):
+    assert pii.spans(text) == ([("email", *want, False)] if want else [])
+
+
 def test_personal_data_of_odd_rows(docs, nothing):
     assert sorted(map(str, by_id(pii.find_personal_data(docs)))) == sorted({str(i) for i, _ in texts_of(docs)})
     assert pii.mask_personal_data(docs).where("text is null").count() == 1
