@@ -33,10 +33,12 @@ ASCII = "aeopcyxijsdhklABEKMHOPCTXIJSaoviptukABEZHIKMNOPTYX@......-------+"[:len
 HIDDEN = "­​‌‍⁠﻿"
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
           "seven": "7", "eight": "8", "nine": "9"}
-SPELLED = 7  # so many digits in words make a run worth reading
+SPELLED = 7  # so many digits in words are a phone number without any sign
 
 _digit = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 RUN = re.compile(rf"(?<![A-Za-z])(?=[pzotfsen0-9])(?:plus[ ,.-]+)?(?:(?:{_digit}|[0-9])[ ,.-]*){{{SPELLED},}}(?<![ ,.-])(?![A-Za-z])", re.I | re.A)
+WORDED = re.compile(rf"(?<![A-Za-z])(?=[pzotfsen0-9])(?:plus[ ,-]+)?(?:(?:{_digit}|[0-9])[ ,-]*)+(?<![ ,-])(?![A-Za-z])", re.I | re.A)
+IN_DIGITS = re.compile(rf"({_digit}|plus)[ ,-]*|([0-9])[ ,-]*(?={_digit})", re.I | re.A)
 RUN_PART = re.compile(rf"plus|{_digit}|[0-9]", re.I | re.A)
 SIGN = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]", re.I | re.A)
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot)\s*[\])}>]\s*", re.I | re.A)
@@ -123,7 +125,7 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     odd = not text.isascii() and not STRANGE.isdisjoint(text)
     low = text.lower()
     signs = "dot" in low or " at " in low or SIGN.search(text) is not None
-    spelled = sum(low.count(w) for w in DIGITS if w != "oh") >= SPELLED // 2
+    spelled = any(w in low for w in DIGITS)
     if not (odd or signs or spelled):
         return []
     tape = Tape(text)
@@ -139,20 +141,31 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
                 edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k.start() + m.start() == m.start(1) else ".")
                           for k in re.finditer(r" (?:at|dot) ", m.group(), re.I)]
         tape.rewrite(edits)
-    runs = []
+    runs, edits = [], []
     if spelled or odd:
-        edits = []
         for m in RUN.finditer(tape.text):
             parts = RUN_PART.findall(m.group())
-            if sum(len(p) > 1 for p in parts) >= SPELLED:
-                digits = "".join("+" if p.lower() == "plus" else DIGITS.get(p.lower(), p) for p in parts)
+            if (sum(len(p) > 1 for p in parts) >= SPELLED and 8 <= sum(p.lower() != "plus" for p in parts) <= 15
+                    and not IP.fullmatch(in_digits(m.group()))):
+                runs.append(("phone", *tape.source(m.start(), m.end())))
+        for m in WORDED.finditer(tape.text):
+            if not m.group().isdigit() and (digits := in_digits(m.group())) != m.group():
                 edits.append((m.start(), m.end(), digits))
-                if 8 <= len(only_digits(digits)) <= 15:
-                    runs.append(("phone", *tape.source(m.start(), m.end())))
-        tape.rewrite(edits)
-    if tape.start is None:
+    if tape.start is None and not edits:
         return []  # nothing was rewritten, so nothing new can be found
-    return [(kind, *tape.source(a, b)) for kind, a, b in plain(tape.text)] + runs
+    # Names and hosts of addresses may hold digits in words, so they are read before those become digits.
+    found = [(kind, *tape.source(a, b)) for kind, a, b in plain(tape.text) if kind == "email"]
+    tape.rewrite(edits)
+    found += [(kind, *tape.source(a, b)) for kind, a, b in plain(tape.text) if kind != "email"]
+    return [f for f in found if f[0] != "ip"] + runs + [f for f in found if f[0] == "ip"]
+
+
+def in_digits(run: str) -> str:
+    """A run with its words as digits; what parts a word from its neighbour goes, what parts two digits stays."""
+    def digit(m):
+        return m[2] or ("+" if (w := m[1].lower()) == "plus" else DIGITS[w])
+
+    return IN_DIGITS.sub(digit, run)
 
 
 def spans(text: str) -> list[tuple[str, int, int, bool]]:

@@ -160,6 +160,19 @@ def test_signs_in_words_need_no_other_dot(text, want):
     assert pii.spans(text) == ([("email", *want, False)] if want else [])
 
 
+@pytest.mark.parametrize("text,want", [
+    ("call +1 four one five 555 0199 now", ("phone", 5, 30)), ("plus 1 four one five 555 0199", ("phone", 0, 29)),
+    ("+1 (four one five) 555-0199", ("phone", 0, 27)), ("pay 4111 one one one one 1111 1111", ("card", 4, 34)),
+    ("4111 one one one one 1111 1112", None), ("10.0.zero.one", ("ip", 0, 13)), ("ten 10 dot zero [dot] 0 [dot] one", None),
+    ("one nine two [dot] one six eight [dot] one [dot] one", ("ip", 0, 52)), ("+1 four one five", None),
+    ("one nine two.168.zero.one", ("ip", 0, 25)), ("one.two.three.four.five.six.seven.eight", ("phone", 0, 39)),
+    ("call five nine (at) site.com", ("email", 10, 28)), ("one of 3 or two, seven of nine.", None),
+])
+def test_digits_in_words_beside_digits(text, want):
+    got = [s for s in pii.spans(text) if want is None or s[0] == want[0]]
+    assert got == ([(*want, False)] if want else [])
+
+
 def test_personal_data_of_odd_rows(docs, nothing):
     assert sorted(map(str, by_id(pii.find_personal_data(docs)))) == sorted({str(i) for i, _ in texts_of(docs)})
     assert pii.mask_personal_data(docs).where("text is null").count() == 1
