@@ -6,9 +6,10 @@ order are candidates. A pair with similarity 0.8 shares a given sample with prob
 with probability 3e-6.
 
 Candidates are compared by alignment: the longest common subsequence of their labelled k-mers within the band that
-the threshold leaves open. Similarity is aligned / (both - aligned); 0.8 or more makes a link. Every text of a bucket
-is compared with the bucket's smallest and largest id, so a bucket of any size gives two pairs a member; texts that are
-near each other meet in many buckets, and classes are the connected components of the links.
+the threshold leaves open. Similarity is aligned / (both - aligned); 0.8 or more makes a link. First every text of a bucket
+is compared with the bucket's smallest and largest id, and the classes found are contracted; then, in each bucket that
+still holds several classes, every pair of texts of different classes whose lengths allow a link is compared. Classes are
+the connected components of all links.
 
 Equal texts (null counts as empty) are one text from the start: they share a class whatever their words. Texts without
 words are linked to nothing else; texts under five words have one k-mer. Repeated rows fall together; rows without an
@@ -114,16 +115,18 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, digest, keys``: a row for each different text, its smallest id and its sketches."""
+    """``id, digest, n, keys``: a row for each row of ``docs``, how many k-mers its text has and its sketches."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("t"))
     src = src.select("id", F.md5("t").alias("digest"), "t")
 
     def sketch(batches):
         for b in batches:
-            keys = [order_sketches(x).tobytes() if len(x) else b"" for x in kmer_lists(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], ["id", "digest", "keys"])
+            lists = list(kmer_lists(b.column(2).to_pylist()))
+            keys = [order_sketches(x).tobytes() if len(x) else b"" for x in lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, lists), pa.int32()), pa.array(keys, pa.binary())],
+                                             ["id", "digest", "n", "keys"])
 
-    return src.mapInArrow(sketch, "id long, digest string, keys binary")
+    return src.mapInArrow(sketch, "id long, digest string, n int, keys binary")
 
 
 def links(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,24 +175,45 @@ def components(edges: DataFrame) -> DataFrame:
         label = label.select("id", "class_id")
 
 
+def unmet(keyed: DataFrame, classes: DataFrame, met: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs ``a, b`` of ``keyed`` (``b, n, key``) that share a bucket, lie in different classes, can be a link by their
+    lengths and are not among the pairs ``met``. The ends of a bucket have met all of it."""
+    own = keyed.join(classes.withColumnRenamed("id", "b"), "b", "left").withColumn("class_id", F.coalesce("class_id", "b"))
+    own = materialize(own, "omh-owned")
+    open_ = own.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min("class_id").alias("_c"), F.max("class_id").alias("_d"))
+    left = own.join(open_.where("_c < _d"), "key").where("b <> low and b <> high")
+    left = materialize(left.select("key", "b", "n", "class_id"), "omh-open")
+    x = left.toDF("key", "a", "n_a", "class_a")
+    apart = (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_id"))
+    near = F.least("n_a", "n") >= threshold * F.greatest("n_a", "n") - 1e-9
+    pairs = x.join(left, "key").where(apart & near).select("a", "b").distinct()
+    return pairs.join(met, ["a", "b"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, ``class_id`` (smallest id of its class), ``copy_of`` (smallest id with the very same text)."""
     ship_package(docs.sparkSession)
     rows = materialize(sketch_table(docs, id_col, text_col), "omh-rows")
-    ids = rows.groupBy("digest").agg(F.min("id").alias("copy_of"), F.first("keys").alias("keys"))
+    ids = rows.groupBy("digest").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = materialize(ids.where("copy_of is not null"), "omh-texts")
     one = "substring(keys, 8 * i + 1, 8)"
     keyed = texts.where("length(keys) > 0").select(
-        F.col("copy_of").alias("b"), F.explode(F.expr(f"transform(sequence(0, {SKETCHES - 1}), i -> conv(hex({one}), 16, -10))")).alias("key"))
-    keyed = keyed.select("b", F.col("key").cast("long").alias("key"))
+        F.col("copy_of").alias("b"), "n", F.explode(F.expr(f"transform(sequence(0, {SKETCHES - 1}), i -> conv(hex({one}), 16, -10))")).alias("key"))
+    keyed = materialize(keyed.select("b", "n", F.col("key").cast("long").alias("key")), "omh-keyed")
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
     met = keyed.join(ends, "key")
     pairs = met.select(F.col("low").alias("a"), "b").union(met.select("high", "b"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.distinct(), "omh-pairs")
     src = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("t"))
-    classes = components(materialize(links(src, pairs, threshold), "omh-links"))
+    found = materialize(links(src, pairs, threshold), "omh-links")
+    classes = components(found)
+    rest = materialize(unmet(keyed, classes, pairs, threshold), "omh-rest")
+    if not rest.isEmpty():
+        more = materialize(links(src, rest, threshold), "omh-more")
+        if not more.isEmpty():
+            classes = components(found.unionByName(more))
     by_text = texts.select("digest", "copy_of").join(classes, texts.copy_of == classes.id, "left").select(
         "digest", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
     out = rows.select("id", "digest").join(by_text, "digest", "left")

@@ -107,6 +107,16 @@ def test_near_duplicates_of_odd_rows(docs, nothing):
     assert order_minhash.near_duplicates(nothing).isEmpty()
 
 
+def test_pairs_in_a_group_of_boilerplate_are_found(spark):
+    """Buckets made of shared words have unrelated ends; a pair may share no other bucket."""
+    shared, rows = " ".join(f"common{i}" for i in range(176)), []
+    for k in range(0, 160, 2):
+        tail = [f"own{k}x{i}" for i in range(28)]
+        rows += [(k, f"{shared} {' '.join(tail)}"), (k + 1, f"{shared} {' '.join(tail[:6] + [f'other{k}x{i}' for i in range(22)])}")]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_alignment_counts_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(200):
