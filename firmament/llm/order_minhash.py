@@ -2,8 +2,9 @@
 
 A text's k-mers are runs of five lower-cased words, each labelled with its occurrence number. Of every one of ``SKETCHES``
 hash orders the ``SAMPLE`` smallest labelled k-mers are taken and kept in text order; two texts with an equal sample in any
-order are candidates. A pair with similarity 0.8 shares a given sample with probability about 0.8 ** 5, so all 32 miss it
-with probability 3e-6.
+order are candidates. A pair of long texts with similarity 0.8 shares a given sample with probability about 0.8 ** 5, so all
+32 miss it with probability 3e-6. In short texts a sample is most of the text, so texts of up to ``SHORT`` k-mers are also
+keyed by single k-mers, a prefix of theirs in hash order: no pair at 0.8 with a text of under ``SHORT * 0.8`` k-mers is missed.
 
 Candidates are compared by alignment: the longest common subsequence of their labelled k-mers within the band that
 the threshold leaves open. Similarity is aligned / (both - aligned); 0.8 or more makes a link. First every text of a bucket
@@ -30,6 +31,7 @@ from firmament.llm.common import U64, body, join_small, materialize, mix, ship_p
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 5
+SHORT = 40  # k-mers
 PIECE = 1 << 18  # k-mers times orders hashed at a time
 
 
@@ -77,6 +79,15 @@ def order_sketches(x: np.ndarray, sketches: int = SKETCHES, sample: int = SAMPLE
     return key.view(np.int64)
 
 
+def prefix_keys(x: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Signed 64-bit keys of the first k-mers of a short text in hash order; two texts that are a link share one."""
+    n = len(x)
+    if n > SHORT:
+        return np.empty(0, dtype=np.int64)
+    first = np.sort(x)[:n - int(np.ceil(threshold * n - 1e-9)) + 1]
+    return mix(first ^ multipliers(SKETCHES + 1)[-1]).view(np.int64)
+
+
 def _smallest(x: np.ndarray, orders: np.ndarray, sample: int) -> np.ndarray:
     """For each order the positions of the ``sample`` smallest k-mers, ascending."""
     y = x * orders[:, None]
@@ -114,7 +125,7 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return n / (both - n)
 
 
-def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch_table(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """``id, digest, n, keys``: a row for each row of ``docs``, how many k-mers its text has and its sketches."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("t"))
     src = src.select("id", F.md5("t").alias("digest"), "t")
@@ -122,7 +133,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sketch(batches):
         for b in batches:
             lists = list(kmer_lists(b.column(2).to_pylist()))
-            keys = [order_sketches(x).tobytes() if len(x) else b"" for x in lists]
+            keys = [order_sketches(x).tobytes() + prefix_keys(x, threshold).tobytes() if len(x) else b"" for x in lists]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, lists), pa.int32()), pa.array(keys, pa.binary())],
                                              ["id", "digest", "n", "keys"])
 
@@ -194,12 +205,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, ``class_id`` (smallest id of its class), ``copy_of`` (smallest id with the very same text)."""
     ship_package(docs.sparkSession)
-    rows = materialize(sketch_table(docs, id_col, text_col), "omh-rows")
+    rows = materialize(sketch_table(docs, id_col, text_col, threshold), "omh-rows")
     ids = rows.groupBy("digest").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     texts = materialize(ids.where("copy_of is not null"), "omh-texts")
     one = "substring(keys, 8 * i + 1, 8)"
     keyed = texts.where("length(keys) > 0").select(
-        F.col("copy_of").alias("b"), "n", F.explode(F.expr(f"transform(sequence(0, {SKETCHES - 1}), i -> conv(hex({one}), 16, -10))")).alias("key"))
+        F.col("copy_of").alias("b"), "n", F.explode(F.expr(f"transform(sequence(0, length(keys) div 8 - 1), i -> conv(hex({one}), 16, -10))")).alias("key"))
     keyed = materialize(keyed.select("b", "n", F.col("key").cast("long").alias("key")), "omh-keyed")
     ends = keyed.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
     met = keyed.join(ends, "key")

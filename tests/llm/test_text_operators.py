@@ -117,6 +117,16 @@ def test_pairs_in_a_group_of_boilerplate_are_found(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_short_near_duplicates_are_found(spark):
+    rows = []
+    for k, n in enumerate([8, 9, 12, 13, 17, 22, 23, 30] * 6):
+        w = [f"w{k}x{i}" for i in range(n)]
+        more = [f"end{k}x{i}" for i in range(max(1, (n - 4) // 4))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + more if k % 2 else more + w))]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_alignment_counts_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(200):
