@@ -14,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # A set of ids up to this many rows (16 bytes each) is copied to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,19 @@ def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of all values of ``df``, a written table: strings by their length, eight for the rest."""
+    wide = ("string", "binary", "array", "map", "struct")
+    size = sum((F.coalesce(F.octet_length(F.col(f.name) if f.dataType.typeName() in wide[:2] else F.to_json(F.struct(f.name))), F.lit(0)) + 16
+                if f.dataType.typeName() in wide else F.lit(8)) for f in df.schema.fields)
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def join_measured(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join that copies ``right``, a written table, to the executors if its values take at most ``most`` bytes; else a shuffle."""
+    return left.join(F.broadcast(right) if measured_bytes(right) <= most else right, on, how)
+
+
 def body(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -118,5 +132,5 @@ def text_groups(texts: list[str], size: int = 1 << 18):
         yield held
 
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "body", "code_points", "join_small", "materialize", "mix", "segment_hashes",
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
            "ship_package", "table", "word_hashes", "words"]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmament.llm import kneser_ney, license_join, lz_fingerprint, mixing, order_minhash, pii, token_counts, toxicity, warc_zip, winnowing
+from firmament.llm import (
+    fill_middle, filter_audit, kneser_ney, license_join, lz_fingerprint, mixing, order_minhash, pii, token_counts, toxicity,
+    url_templates, warc_zip, winnowing,
+)
 from firmament.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DOMAIN_WEIGHTS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
@@ -78,5 +82,21 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality_scores(table(spark, sf_dir, "documents"), trusted(table(spark, sf_dir, "labels")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc_zip, op3_token_counts, op4_order_minhash, op5_personal_data, op6_lz_fingerprint,
-                                   op7_winnowing, op8_toxicity, op9_license_join, op10_kneser_ney)}
+                                   op7_winnowing, op8_toxicity, op9_license_join, op10_kneser_ney, op11_fill_middle, op12_url_templates,
+                                   op13_filter_audit)}
