@@ -44,6 +44,14 @@ def join_measured(left: DataFrame, right: DataFrame, on: str | list[str], how: s
     return left.join(F.broadcast(right) if measured_bytes(right) <= most else right, on, how)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, or it with underscores behind it: a working column that no column of ``frames`` clashes with."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def body(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -132,5 +140,5 @@ def text_groups(texts: list[str], size: int = 1 << 18):
         yield held
 
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "free_name", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
            "ship_package", "table", "word_hashes", "words"]

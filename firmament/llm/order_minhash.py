@@ -8,9 +8,11 @@ keyed by single k-mers, a prefix of theirs in hash order: no pair at 0.8 with a
 
 Candidates are compared by alignment: the longest common subsequence of their labelled k-mers within the band that
 the threshold leaves open. Similarity is aligned / (both - aligned); 0.8 or more makes a link. First every text of a bucket
-is compared with the bucket's smallest and largest id, and the classes found are contracted; then, in each bucket that
-still holds several classes, every pair of texts of different classes whose lengths allow a link is compared. Classes are
-the connected components of all links.
+is compared with the bucket's smallest and largest id, and the classes found are contracted. The texts of buckets that
+still hold several classes are then joined exactly: by their rarest k-mers, as many as a link must share one of, with
+length and positional filters. Buckets that meet in a common passage alone give no pairs there, as the passage is what is
+frequent. Classes are the connected components of all links. Alignment works on the upper half of 64-bit hashes, so two
+different k-mers of a pair count as equal with probability 2e-10.
 
 Equal texts (null counts as empty) are one text from the start: they share a class whatever their words. Texts without
 words are linked to nothing else; texts under five words have one k-mer. Repeated rows fall together; rows without an
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import U64, body, join_small, materialize, mix, ship_package, text_groups, word_hash_lists
+from firmament.llm.common import U64, body, free_name, join_measured, materialize, mix, ship_package, text_groups, word_hash_lists
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 5
 SHORT = 40  # k-mers
 PIECE = 1 << 18  # k-mers times orders hashed at a time
+FREQUENT = 1 << 18  # k-mers whose numbers of texts are known to every task
 
 
 def labelled_kmers(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -149,7 +152,7 @@ def links(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> D
             seqs = [(x >> U64(32)).astype(np.uint32).tobytes() for x in kmer_lists(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], ["id", "seq"])
 
-    seqs = materialize(join_small(texts, ends, "id").select("id", "t").mapInArrow(encode, "id long, seq binary"), "omh-seqs")
+    seqs = materialize(join_measured(texts, ends, "id").select("id", "t").mapInArrow(encode, "id long, seq binary"), "omh-seqs")
 
     def verify(batches):
         for b in batches:
@@ -186,18 +189,86 @@ def components(edges: DataFrame) -> DataFrame:
         label = label.select("id", "class_id")
 
 
-def unmet(keyed: DataFrame, classes: DataFrame, met: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs ``a, b`` of ``keyed`` (``b, n, key``) that share a bucket, lie in different classes, can be a link by their
-    lengths and are not among the pairs ``met``. The ends of a bucket have met all of it."""
+def open_texts(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id, n, class_id`` of the texts of ``keyed`` (``b, n, key``) that share a bucket with a text of another class."""
     own = keyed.join(classes.withColumnRenamed("id", "b"), "b", "left").withColumn("class_id", F.coalesce("class_id", "b"))
     own = materialize(own, "omh-owned")
-    open_ = own.groupBy("key").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min("class_id").alias("_c"), F.max("class_id").alias("_d"))
-    left = own.join(open_.where("_c < _d"), "key").where("b <> low and b <> high")
-    left = materialize(left.select("key", "b", "n", "class_id"), "omh-open")
-    x = left.toDF("key", "a", "n_a", "class_a")
-    apart = (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_id"))
-    near = F.least("n_a", "n") >= threshold * F.greatest("n_a", "n") - 1e-9
-    pairs = x.join(left, "key").where(apart & near).select("a", "b").distinct()
+    mixed = own.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+    return own.join(mixed, "key").groupBy(F.col("b").alias("id")).agg(F.first("n").alias("n"), F.first("class_id").alias("class_id"))
+
+
+def frequent(seqs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers that are in most texts of ``seqs`` (``seq``), ascending, and in how many: all of at least some power of two,
+    chosen so that there are at most ``most``."""
+
+    def tally(batches):
+        for b in batches:
+            held = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
+            kmer, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(c, pa.int64())], ["kmer", "c"])
+
+    counts = seqs.select("seq").mapInArrow(tally, "kmer long, c long").groupBy("kmer").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = materialize(counts, "omh-counts")
+    size = {r.k: r.n for r in counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    least = min((k for k in range(1, 65) if sum(n for j, n in size.items() if j >= k) <= most))
+    rows = counts.where(F.col("c") >= 2 ** least).toPandas()  # at most ``most`` rows of 16 bytes
+    kmer, c = rows.kmer.to_numpy(np.int64).view(U64), rows.c.to_numpy(np.int64)
+    by = np.argsort(kmer)
+    return kmer[by], c[by]
+
+
+def prefixes(seqs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``key, id, n, class_id, place, index``: the rarest k-mers of each text of ``seqs`` (``id, n, class_id, seq``).
+
+    K-mers are ordered by how many texts hold them, then by hash. A link needs ``threshold * (n_a + n_b) / (1 + threshold)`` common
+    k-mers; so it has one among the first ``n - least + 1`` of each side, where ``least`` is what the text would need with its
+    shortest partner, and for the shorter of the two, marked ``index``, with a partner of its own length.
+    """
+    spark = seqs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent(seqs))
+
+    def first(batches):
+        known, df = shared.value
+        for b in batches:
+            cols: list[list] = [[], [], [], [], [], []]
+            for i, n, c, raw in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                x = np.frombuffer(raw, U64)
+                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                often = np.where(known[at] == x, df[at], 0) if len(known) else np.zeros(n, np.int64)
+                x = x[np.lexsort((x, often))][:n - int(np.ceil(threshold * n - 1e-9)) + 1]
+                short = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+                place = np.arange(len(x))
+                for col, v in zip(cols, (x.view(np.int64), np.full(len(x), i), np.full(len(x), n), np.full(len(x), c), place, place < short), strict=True):
+                    col.append(v)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+            arrays = [pa.array(np.concatenate(col) if col else [], t) for col, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "n", "class_id", "place", "index"])
+
+    return seqs.select("id", "n", "class_id", "seq").mapInArrow(first, "key long, id long, n int, class_id long, place int, index boolean")
+
+
+def unmet(texts: DataFrame, keyed: DataFrame, classes: DataFrame, met: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs ``a, b`` that share a bucket of ``keyed`` without having met, lie in different classes and may be a link.
+
+    Buckets of texts with a common passage hold many that are no link. All pairs of the texts in such buckets are looked for
+    by an exact prefix join instead: what is common to many is frequent and leaves the prefixes, so that they do not meet.
+    """
+    left = materialize(open_texts(keyed, classes), "omh-open")
+
+    def encode(batches):
+        for b in batches:
+            seqs = [x.tobytes() for x in kmer_lists(b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(seqs, pa.binary())], ["id", "n", "class_id", "seq"])
+
+    src = join_measured(texts.select("id", "t"), left, "id").select("id", "n", "class_id", "t")
+    seqs = materialize(src.mapInArrow(encode, "id long, n int, class_id long, seq binary"), "omh-open-seqs")
+    keys = materialize(prefixes(seqs, threshold), "omh-prefixes")
+    x = keys.where("index").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "class_id", "place")])
+    need = F.ceil(threshold / (1 + threshold) * (F.col("x_n") + F.col("n")) - 1e-9)
+    bound = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("n") - F.col("place")) - 1
+    shorter = (F.col("x_n") < F.col("n")) | ((F.col("x_n") == F.col("n")) & (F.col("x_id") < F.col("id")))
+    may = shorter & (F.col("x_n") >= threshold * F.col("n") - 1e-9) & (F.col("x_class_id") != F.col("class_id")) & (bound >= need)
+    pairs = x.join(keys, "key").where(may).select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
     return pairs.join(met, ["a", "b"], "left_anti")
 
 
@@ -220,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), body(text_col).alias("t"))
     found = materialize(links(src, pairs, threshold), "omh-links")
     classes = components(found)
-    rest = materialize(unmet(keyed, classes, pairs, threshold), "omh-rest")
+    rest = materialize(unmet(src, keyed, classes, pairs, threshold), "omh-rest")
     if not rest.isEmpty():
         more = materialize(links(src, rest, threshold), "omh-more")
         if not more.isEmpty():
@@ -234,17 +305,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that with the smallest id; of repeated rows with that id, one.
 
-    Rows without an id go if a row with an id has their text, else they stay.
+    Rows without an id go if a row with an id has their text, else they stay. Other columns may have any name and stay as they are.
     """
-    classes = materialize(near_duplicates(docs, id_col, text_col), "omh-classes")
-    others = materialize(classes.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "omh-others")
-    kept = join_small(docs, others, id_col, "left_anti")
-    if not classes.where(F.col(id_col).isNull() & F.col("class_id").isNotNull()).isEmpty():
-        known = materialize(docs.where(F.col(id_col).isNotNull()).select(F.md5(body(text_col)).alias("_digest")).distinct(), "omh-known")
-        nameless = docs.where(F.col(id_col).isNull()).withColumn("_digest", F.md5(body(text_col)))
-        kept = kept.where(F.col(id_col).isNotNull()).unionByName(join_small(nameless, known, "_digest", "left_anti").drop("_digest"))
-    twice = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count().where("count > 1")
+    classes = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
+    classes = materialize(classes.select(F.col(id_col).alias("id"), "class_id"), "omh-classes")
+    others = materialize(classes.where("id <> class_id").select(F.col("id").alias(id_col)).distinct(), "omh-others")
+    kept = join_measured(docs, others, id_col, "left_anti")
+    if not classes.where("id is null and class_id is not null").isEmpty():
+        digest = free_name("digest", docs)
+        known = materialize(docs.where(F.col(id_col).isNotNull()).select(F.md5(body(text_col)).alias(digest)).distinct(), "omh-known")
+        nameless = docs.where(F.col(id_col).isNull()).withColumn(digest, F.md5(body(text_col)))
+        kept = kept.where(F.col(id_col).isNotNull()).unionByName(join_measured(nameless, known, digest, "left_anti").drop(digest))
+    twice = classes.where("id = class_id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return kept
-    repeated = materialize(twice.select(id_col), "omh-repeated")
-    return join_small(kept, repeated, id_col, "left_anti").unionByName(join_small(kept, repeated, id_col).select(*docs.columns).dropDuplicates([id_col]))
+    repeated = materialize(twice.select(F.col("id").alias(id_col)), "omh-repeated")
+    return join_measured(kept, repeated, id_col, "left_anti").unionByName(
+        join_measured(kept, repeated, id_col).select(*docs.columns).dropDuplicates([id_col]))
