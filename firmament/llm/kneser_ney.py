@@ -1,15 +1,20 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are classes of characters (``SYMBOLS`` of them), its n-grams are ``ORDER`` symbols long, numbered in
-base ``SYMBOLS``. Every trusted text is counted: tasks count their own n-grams, Spark sums them by n-gram. Continuation
-counts, totals of contexts and discounts are then joins and aggregates of count tables sharded by n-gram. The model has at
-most ``SYMBOLS ** ORDER`` cells whatever the corpus (2.6 million, ten megabytes), so it goes to every executor and texts
-are scored where they lie, whole.
+Tokens are runs of word characters, as written and with all digits alike, and runs of other visible characters. The
+``KNOWN`` tokens that are most frequent in trusted text have a number of their own, all others share ``OTHERS`` numbers by hash, so a
+token takes 16 bits and a bigram 32. Bigrams of all trusted texts are counted: tasks count their own, the counts are dealt
+to shards by bigram and added up there. The number of shards follows the size of the texts and no table of bigrams is ever in
+one place; only what is known of single tokens (contexts and continuations, ``VOCABULARY`` numbers each) goes to every task.
+
+Documents are scored by joining the shards: a task sends each shard the different bigrams of its texts once, with the places
+of the texts they are in; a shard answers with what its counts add to each text's log probability; the parts are summed. Of a
+trusted text its own occurrences are taken off the counts first, so it is judged like a text the model has not seen.
 
 A text is rejected when its perplexity exceeds a quantile of the trusted texts of its own language (of all trusted texts
 where the language has none). Null and empty texts have a null perplexity and are rejected; a null language is a language
 of its own. Without any trusted text nothing can be judged and every non-empty text is kept. Repeated rows are judged each
-for itself.
+for itself, texts of any length whole. An empty table gives an empty one. Columns called ``perplexity``, ``threshold`` or ``accepted``
+are replaced, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -18,182 +23,312 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import body, code_points, join_small, materialize, ship_package
+from firmament.llm.common import U64, body, code_points, free_name, join_measured, join_small, materialize, segment_hashes, ship_package, text_groups
 
-SYMBOLS, ORDER = 40, 4
-CELLS = SYMBOLS ** ORDER
-EDGE = 0  # stands before the first and after the last character
+VOCABULARY, OTHERS = 1 << 16, 1 << 12
+KNOWN = VOCABULARY - OTHERS - 1
+EDGE = 0  # stands before the first and after the last token
 QUANTILE, MARGIN = 0.995, 1.15
-PSEUDO = 40  # symbols of average trusted text that every text is eked out with, so that a few words do not decide
-PIECE = 1 << 20
+PSEUDO = 10  # tokens of average trusted text that every text is eked out with, so that a few words do not decide
+SHARD_BYTES, LEAST_SHARDS = 128 << 20, 16  # text for each shard
+SLICE = 1 << 14  # texts
 
 
 @functools.cache
-def classes() -> np.ndarray:
-    """The symbol of each code point below 0x3000."""
-    out = np.empty(0x3000, dtype=np.int32)
-    for p in range(0x3000):
-        ch = chr(p)
-        if "a" <= ch <= "z":
-            out[p] = 1 + p - 97
-        elif ch.islower():
-            out[p] = 27 + p % 4
-        elif ch.isupper():
-            out[p] = 31
-        elif ch.isdigit():
-            out[p] = 32
-        elif ch == "\n":
-            out[p] = 33
-        elif ch.isspace():
-            out[p] = 34
-        elif ch == ".":
-            out[p] = 35
-        elif ch == ",":
-            out[p] = 36
-        elif ch.isalpha():
-            out[p] = 39
-        else:
-            out[p] = 37 + p % 2
-    return out
-
-
-def gram_codes(text: str, order: int = ORDER) -> np.ndarray:
-    """Numbers of the n-grams ending at each character of a text and at its end."""
-    a = code_points(text)
-    sym = np.where(a < 0x3000, classes()[np.minimum(a, 0x2FFF)], 39)
-    s = np.concatenate([np.full(order - 1, EDGE), sym, [EDGE]]).astype(np.int32)
-    n = len(s) - order + 1
-    code = s[:n].copy()
-    for k in range(1, order):
-        code = code * SYMBOLS + s[k:k + n]
-    return code
-
-
-def gram_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``code, c``: how often each n-gram occurs in all texts of ``docs``."""
-    ship_package(docs.sparkSession)
+def _kinds() -> np.ndarray:
+    """0 for blanks, 1 for word characters, 2 for other visible ones; all code points from 128 on are word characters."""
+    return np.array([0 if p <= 32 or p == 127 else 1 if chr(p).isalnum() else 2 for p in range(128)] + [1], dtype=np.int8)
 
-    def count(batches):
-        total = np.zeros(SYMBOLS ** order, dtype=np.int64)
-        for b in batches:
-            held, n = [], 0
-            for t in b.column(0).to_pylist():
-                held.append(gram_codes(t, order))
-                n += len(held[-1])
-                if n > PIECE:
-                    np.add.at(total, *_tally(held))
-                    held, n = [], 0
-            if held:
-                np.add.at(total, *_tally(held))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["code", "c"])
 
-    texts = docs.select(F.col(text_col).alias("_t")).where(F.length("_t") > 0)
-    return texts.mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+def token_lists(texts: list[str]) -> list[np.ndarray]:
+    """A 64-bit hash of each token, for several texts in one pass over their characters."""
+    a = code_points("\n".join(texts))
+    kind = _kinds()[np.minimum(a, 128)]
+    at = np.flatnonzero(kind)
+    if not len(at):
+        return [np.empty(0, U64) for _ in texts]
+    a, kind = a[at], kind[at]
+    points = np.where((a >= 48) & (a <= 57), 48, a)
+    starts = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(kind, prepend=0) != 0))
+    edges = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    return np.split(segment_hashes(points.astype(U64), starts), np.searchsorted(at[starts], edges))
 
 
-def _tally(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    codes, n = np.unique(np.concatenate(held), return_counts=True)
-    return codes, n
+def numbered(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Numbers of tokens given as hashes; ``known`` are the hashes with a number of their own, ascending."""
+    other = 1 + KNOWN + (h % U64(OTHERS)).astype(np.uint32)
+    if not len(known):
+        return other
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, 1 + at, other).astype(np.uint32)
 
 
-def _discounted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``code, p`` of the n-grams seen and ``ctx, gamma`` of their contexts, of one order.
+def bigrams(numbers: np.ndarray) -> np.ndarray:
+    s = np.concatenate([[EDGE], numbers, [EDGE]]).astype(np.uint32)
+    return s[:-1] << np.uint32(16) | s[1:]
 
-    The discounts come from the counts of counts; where those are too few to give a discount in its range, the
-    discount is half a count per class.
-    """
-    n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    spread = grams.agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-    def discount(k: int) -> Column:
-        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
-        return F.when(raw.between(0.01, k), raw).otherwise(F.lit(0.5 * k)).alias(f"d{k}")
-
-    d = spread.select(discount(1), discount(2), discount(3))
-    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    g = grams.crossJoin(F.broadcast(d)).select("code", "c", cut.alias("cut"), (F.floor(F.col("code") / SYMBOLS)).alias("ctx"))
-    ctx = g.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("cut").alias("spare"))
-    p = g.join(ctx, "ctx").select("code", ((F.col("c") - F.col("cut")) / F.col("total")).alias("p"))
-    return p, ctx.select("ctx", (F.col("spare") / F.col("total")).alias("gamma"))
-
-
-def fit(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> tuple[np.ndarray, float] | None:
-    """Log probabilities of all n-grams, float32, ``CELLS`` long, and their mean over the trusted text; None without any."""
-    grams = materialize(gram_counts(trusted, text_col, order), "kn-grams")
-    parts, level = [], grams
-    for n in range(order, 0, -1):
-        p, gamma = _discounted(level)
-        parts.append(p.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), "code", "p"))
-        parts.append(gamma.select(F.lit(n).alias("n"), F.lit(False).alias("seen"), F.col("ctx").alias("code"),
-                                  F.col("gamma").alias("p")))
-        # A lower order counts in how many contexts an n-gram continues, not how often it occurs.
-        level = level.groupBy((F.col("code") % (SYMBOLS ** (n - 1))).alias("code")).agg(F.count("*").alias("c"))
-    rows = functools.reduce(DataFrame.unionAll, parts).toPandas()  # at most 2 * CELLS * 41 / 39 rows
-    if rows.empty:
-        return None
-    prob = np.full(1, 1.0 / SYMBOLS)
-    for n in range(1, order + 1):
-        mine = rows[rows.n == n]
-        seen, back = mine[mine.seen], mine[~mine.seen]
-        gamma = np.ones(SYMBOLS ** (n - 1))
-        gamma[back.code.to_numpy()] = back.p.to_numpy()
-        lower = np.full(SYMBOLS, prob[0]) if n == 1 else np.tile(prob, SYMBOLS)  # shortened by its first symbol
-        out = np.repeat(gamma, SYMBOLS) * lower
-        out[seen.code.to_numpy()] += seen.p.to_numpy()
-        prob = out
-    logp = np.log(prob).astype(np.float32)
-    counts = grams.toPandas()  # at most CELLS rows
-    return logp, float(np.average(logp[counts.code.to_numpy()], weights=counts.c.to_numpy()))
+
+def packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """An array of 32-bit numbers, its bytes laid out by place; of ascending ones the steps."""
+    x = np.diff(x, prepend=np.uint32(0)).astype(np.uint32) if ascending else x.astype(np.uint32)
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def perplexities(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", pseudo: int = PSEUDO) -> DataFrame:
-    """``docs`` with ``perplexity`` per character class, null where there is no text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model[0])
-    mean = model[1]
+def unpacked(raw: bytes, ascending: bool = False) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    flat = np.frombuffer(pa.decompress(raw[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(flat.reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(x, dtype=np.uint32) if ascending else x
 
-    @F.pandas_udf("double")
-    def score(texts):
-        logp = shared.value
 
-        def one(text):
-            codes = gram_codes(text)
-            return float(np.exp(-(logp[codes].sum(dtype=np.float64) + pseudo * mean) / (len(codes) + pseudo)))
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return ((grams * np.uint32(0x9E3779B1)).astype(np.uint64) * U64(shards) >> U64(32)).astype(np.int32)
 
-        return texts.map(lambda t: one(t) if t else None)
 
-    return docs.withColumn("perplexity", score(body(text_col)))
+def _batch(b) -> list[np.ndarray]:
+    return [h for group in text_groups(b.to_pylist()) for h in token_lists(group)]
+
+
+def known_tokens(texts: DataFrame, most: int = KNOWN) -> np.ndarray:
+    """Hashes of the ``most`` most frequent tokens of ``texts`` (``t``), ascending; of equally frequent ones the smaller."""
+
+    def tally(batches):
+        for b in batches:
+            h, c = np.unique(np.concatenate([np.empty(0, U64), *_batch(b.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
+
+    counts = texts.select("t").mapInArrow(tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    top = counts.orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()  # the vocabulary, half a megabyte
+    return np.sort(top.h.to_numpy(np.int64).view(U64))
+
+
+def bigram_shards(texts: DataFrame, known: np.ndarray, shards: int) -> DataFrame:
+    """``shard, grams, counts``: one row for each shard, its bigrams ascending and how often they occur in ``texts``."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches):
+        for b in batches:
+            held = [bigrams(numbered(h, shared.value)) for h in _batch(b.column(0))]
+            grams, c = np.unique(np.concatenate([np.empty(0, np.uint32), *held]), return_counts=True)
+            of = shard_of(grams, shards)
+            rows = [(s, packed(grams[of == s], True), packed(c[of == s])) for s in np.unique(of).tolist()]
+            yield pa.RecordBatch.from_pylist([{"shard": s, "grams": g, "counts": n} for s, g, n in rows], PARTS)
+
+    def added(key, table):
+        grams = np.concatenate([unpacked(x.as_py(), True) for x in table.column("grams")])
+        counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
+        grams, at = np.unique(grams, return_inverse=True)
+        counts = np.minimum(np.bincount(at, counts), 0xFFFFFFFF)
+        return pa.table({"shard": [key[0].as_py()], "grams": [packed(grams, True)], "counts": [packed(counts)]}, PARTS)
+
+    parts = texts.select("t").mapInArrow(count, "shard int, grams binary, counts binary")
+    return parts.groupBy("shard").applyInArrow(added, "shard int, grams binary, counts binary")
+
+
+PARTS = pa.schema([("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and more, from how many occur once to four times; half a count for each up to
+    three where those are too few to give a discount in its range."""
+    n, out = [n1, n2, n3, n4], [0.0]
+    for k in (1, 2, 3):
+        raw = k - (k + 1) * n1 / (n1 + 2 * n2) * n[k] / n[k - 1] if n[k - 1] and n1 + n2 else -1.0
+        out.append(raw if 0.01 <= raw <= k else 0.5 * k)
+    return np.array(out)
+
+
+class Model:
+    """What is known of single tokens: ``back`` (log weight left to the lower order, by context), ``single`` (log probability by
+    token), ``total`` (by context) and the bigrams' discounts. With the bigrams' counts it gives all probabilities."""
+
+    def __init__(self, spread: np.ndarray, tokens: dict[str, np.ndarray]):
+        self.cut = discounts(*spread)
+        self.total = tokens["total"]
+        spare = self.cut[1] * tokens["n1"] + self.cut[2] * tokens["n2"] + self.cut[3] * tokens["n3"]
+        self.back = np.log(np.divide(spare, self.total, out=np.ones(VOCABULARY), where=self.total > 0))
+        k = tokens["before"]
+        cut = discounts(*(float((k == j).sum()) for j in (1, 2, 3, 4)))[np.minimum(k, 3).astype(int)]
+        self.single = np.log((k - cut) / k.sum() + cut.sum() / k.sum() / VOCABULARY)
+
+    def gain(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log probability of bigrams seen so often, over what single tokens give them."""
+        c, w = grams >> np.uint32(16), grams & np.uint32(0xFFFF)
+        low = np.exp(self.back[c] + self.single[w])
+        seen = np.maximum(counts - self.cut[np.minimum(counts, 3).astype(int)], 0.0)
+        return np.log1p(seen / np.maximum(self.total[c], 1.0) / low)
+
+
+def fit(trusted: DataFrame, shards: int, text_col: str = "text") -> tuple[np.ndarray, DataFrame, Model, float] | None:
+    """The known tokens, the sharded counts, the model of single tokens and the mean log probability of a trusted token."""
+    texts = trusted.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
+    known = known_tokens(texts)
+    parts = materialize(bigram_shards(texts, known, shards), "kn-shards")
+
+    def spread(batches):
+        for b in batches:
+            for g, n in zip(b.column(1), b.column(2), strict=True):
+                grams, c = unpacked(g.as_py(), True), unpacked(n.as_py())
+                of = (grams >> np.uint32(16)).astype(np.int64)
+                rows = [np.bincount(of, c, VOCABULARY)] + [np.bincount(of[m], minlength=VOCABULARY) for m in (c == 1, c == 2, c > 2)]
+                rows += [np.bincount((grams & np.uint32(0xFFFF)).astype(np.int64), minlength=VOCABULARY)]
+                rows += [np.bincount(of[m], minlength=VOCABULARY) for m in (c == 3, c == 4)]
+                at = np.flatnonzero(rows[0] + rows[4])
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(r[at].astype(np.float64)) for r in rows)], ["token", *TOKEN_COLS])
+
+    cols = ", ".join(f"{c} double" for c in TOKEN_COLS)
+    rows = parts.mapInArrow(spread, f"token long, {cols}").groupBy("token").agg(*[F.sum(c).alias(c) for c in TOKEN_COLS])
+    rows = rows.toPandas()  # at most ``VOCABULARY`` rows
+    if rows.empty:
+        return None
+    tokens = {c: np.zeros(VOCABULARY) for c in TOKEN_COLS}
+    for c in TOKEN_COLS:
+        tokens[c][rows.token.to_numpy()] = rows[c].to_numpy()
+    model = Model(np.array([tokens[c].sum() for c in ("n1", "n2", "exactly3", "exactly4")]), tokens)
+    shared = trusted.sparkSession.sparkContext.broadcast(model)
+
+    def likelihood(batches):
+        for b in batches:
+            out = [0.0]
+            for g, n in zip(b.column(1), b.column(2), strict=True):
+                grams, c = unpacked(g.as_py(), True), unpacked(n.as_py())
+                m = shared.value
+                out.append(float(c @ (m.gain(grams, c) + m.back[grams >> np.uint32(16)] + m.single[grams & np.uint32(0xFFFF)])))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(out)], pa.float64())], ["s"])
+
+    mean = parts.mapInArrow(likelihood, "s double").agg(F.sum("s")).first()[0] / tokens["total"].sum()
+    return known, parts, model, mean
+
+
+TOKEN_COLS = ("total", "n1", "n2", "n3", "before", "exactly3", "exactly4")
+
+
+def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -> DataFrame:
+    """``rows`` (``t``, ``own`` and others) without ``t`` but with ``perplexity``; ``own`` marks texts the model has counted."""
+    known, parts, model, mean = trained
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((known, model))
+    carried = [c for c in rows.columns if c != "t"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+
+    def request(batches):
+        known, model = shared.value
+        task, at = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                own = np.array(b.column("own").to_pylist(), dtype=bool)
+                lists = [bigrams(numbered(h, known)) for h in _batch(b.column("t"))]
+                base = [float((model.back[g >> np.uint32(16)] + model.single[g & np.uint32(0xFFFF)]).sum()) for g in lists]
+                n = np.array([len(g) for g in lists])
+                names = ["slice", "place", "base", "n", *carried]
+                cols = [pa.array(np.full(len(n), task + at)), pa.array(np.arange(len(n)), pa.int32()), pa.array(base, pa.float64()), pa.array(n, pa.int64()),
+                        *(b.column(c) for c in carried)]
+                docs = pa.table(dict(zip(names, cols, strict=True)))
+                grams, of = np.concatenate(lists), np.repeat(np.arange(len(n)) << 1 | own, n)
+                by = np.argsort(grams.astype(np.uint64) << U64(20) | of.astype(np.uint64), kind="stable")
+                grams, of = grams[by], of[by]
+                shard = shard_of(grams, shards)
+                asked = []
+                for s in np.unique(shard).tolist():
+                    g, where = grams[shard == s], of[shard == s]
+                    first = np.flatnonzero(np.diff(g.astype(np.int64), prepend=-1))
+                    asked.append({"slice": task + at, "shard": s, "grams": packed(g[first], True),
+                                  "counts": packed(np.diff(np.append(first, len(g)))), "texts": packed(where)})
+                out = pa.concat_tables([docs, pa.Table.from_pylist(asked, ASKED)], promote_options="permissive")
+                yield from out.select([*names, "shard", "grams", "counts", "texts"]).combine_chunks().to_batches()
+                at += 1
+
+    table = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, counts binary, texts binary")
+    table = materialize(table, "kn-requests")
+
+    def answer(key, asked, held):
+        if not held.num_rows:
+            return pa.table({"slice": [], "place": [], "part": []}, PART)
+        model = shared.value[1]
+        grams, counts = unpacked(held.column("grams")[0].as_py(), True), unpacked(held.column("counts")[0].as_py())
+        out = []
+        for i, g, c, where in zip(*(asked.column(x) for x in ("slice", "grams", "counts", "texts")), strict=True):
+            g, c, where = unpacked(g.as_py(), True), unpacked(c.as_py()), unpacked(where.as_py())
+            at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            seen = np.where(grams[at] == g, counts[at], 0).astype(np.int64)
+            of = np.repeat(np.arange(len(g)), c)
+            keep = np.flatnonzero(seen[of])
+            of, where = of[keep], where[keep]
+            run = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(where.astype(np.int64), prepend=-1) != 0))
+            times = np.diff(np.append(run, len(of)))
+            of, where = of[run], where[run]
+            part = times * model.gain(g[of], np.maximum(seen[of] - times * (where & np.uint32(1)), 0))
+            total = np.bincount(where >> np.uint32(1), part)
+            place = np.flatnonzero(total)
+            out.append(pa.table([pa.array(np.full(len(place), i.as_py())), pa.array(place, pa.int32()), pa.array(total[place])], PART))
+        return pa.concat_tables(out) if out else pa.table({"slice": [], "place": [], "part": []}, PART)
+
+    asked = table.where("shard is not null").select("shard", "slice", "grams", "counts", "texts")
+    answers = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "slice long, place int, part double")
+    docs = table.where("shard is null").select("slice", "place", F.col("base").alias("part"), "n", *carried)
+    both = docs.unionByName(answers, allowMissingColumns=True).groupBy("slice", "place").agg(
+        F.sum("part").alias("part"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in carried])
+    return both.select(*carried, F.exp(-(F.col("part") + pseudo * mean) / (F.col("n") + pseudo)).alias("perplexity"))
+
+
+ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+PART = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("part", pa.float64())])
+
+
+def _scores(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float,
+            extra: list | None = None) -> DataFrame:
+    """``id, lang``, the ``extra`` columns, ``perplexity, threshold, accepted``: a row for each of ``docs``."""
+    ship_package(docs.sparkSession)
+    ids = trusted_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("own", F.lit(True))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), body(text_col).alias("t"), *(extra or []))
+    rows = join_small(rows, materialize(ids, "trusted"), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    extras = [c for c in rows.columns if c not in ("id", "lang", "t", "own")]
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    full = rows.where(F.length("t") > 0)
+    empty = rows.where(F.length("t") == 0).select("id", "lang", *extras)
+    none = F.lit(None).cast("double")
+    trained = fit(rows.where("own"), shards, "t")
+    if trained is None:
+        return full.select("id", "lang", *extras, none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("accepted")).unionByName(
+            empty.select("*", none.alias("perplexity"), none.alias("threshold"), F.lit(False).alias("accepted")))
+    out = materialize(scored(full, trained, shards), "kn-scores")
+    q = F.percentile_approx("perplexity", quantile, 10000) * margin
+    own = out.where("own")
+    by_lang = materialize(own.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(q.alias("_own")), "thresholds")
+    overall = own.agg(q).first()[0]
+    out = out.drop("own").unionByName(empty.withColumn("perplexity", none)).withColumn("_lang", F.coalesce("lang", F.lit("")))
+    out = join_measured(out, by_lang, "_lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(overall)))
+    return out.select("id", "lang", *extras, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``accepted``. ``trusted_ids`` has the column ``id_col``.
 
-    The threshold of a language is ``margin`` times the ``quantile`` of its trusted texts' perplexities.
+    The threshold of a language is ``margin`` times the ``quantile`` of its trusted texts' perplexities. Scores are found again by
+    id, text and language, so rows that are equal in these share one.
     """
-    ship_package(docs.sparkSession)
-    ids = materialize(trusted_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "trusted")
-    lang = F.coalesce(F.col(lang_col), F.lit("")).alias("_lang")
-    known = join_small(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), lang), ids, "_id").where(F.length("_t") > 0)
-    model = fit(known, "_t")
-    if model is None:
-        return docs.withColumns({"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"),
-                                 "accepted": F.coalesce(F.length(text_col) > 0, F.lit(False))})
-    q = F.percentile_approx("perplexity", quantile, 10000) * margin
-    own = materialize(perplexities(known, model, "_t").select("_lang", "perplexity"), "trusted-perplexity")
-    by_lang = materialize(own.groupBy("_lang").agg(q.alias("_own")), "thresholds")
-    overall = own.agg(q).first()[0]
-    out = join_small(perplexities(docs, model, text_col).withColumn("_lang", lang), by_lang, "_lang", "left")
-    out = out.withColumn("threshold", F.coalesce("_own", F.lit(overall)))
-    return out.select(*docs.columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("accepted"))
+    made = ("perplexity", "threshold", "accepted")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
+    digest = F.unhex(F.md5(body(text_col)))
+    scores = _scores(docs, trusted_ids, id_col, text_col, lang_col, quantile, margin, [digest.alias("digest")])
+    names = {c: free_name(f"_{c}", docs) for c in ("id", "digest", "lang")}
+    once = scores.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(*[F.first(c).alias(c) for c in made])
+    once = materialize(once, "kn-verdicts")
+    mine = {"id": F.col(id_col), "digest": digest, "lang": F.col(lang_col)}
+    on = functools.reduce(lambda a, b: a & b, [mine[c].eqNullSafe(F.col(n)) for c, n in names.items()])
+    return join_measured(docs, once, on, "left").select(*docs.columns, *made)
 
 
 def quality_scores(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    lang_col: str = "lang") -> DataFrame:
     """Per row: id, language, ``perplexity``, ``threshold`` and ``accepted``."""
-    out = judged(docs.select(id_col, text_col, lang_col), trusted_ids, id_col, text_col, lang_col)
-    return out.select(id_col, lang_col, "perplexity", "threshold", "accepted")
+    out = _scores(docs, trusted_ids, id_col, text_col, lang_col, QUANTILE, MARGIN)
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "threshold", "accepted")

@@ -301,33 +301,6 @@ def test_blocks_and_phrases_equal_brute_force(spark, docs, nothing):
 
 # ---- quality -------------------------------------------------------------------
 
-def test_model_equals_brute_force_kneser_ney(spark):
-    texts = ["abab ba", "abc cab bca", "ccc", "ab.", None, ""]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    logp, _ = kneser_ney.fit(df, order=2)
-    k = kneser_ney.SYMBOLS
-    grams = collections.Counter(int(c) for t in texts if t for c in kneser_ney.gram_codes(t, 2))
-
-    def smooth(counts, lower):
-        n = collections.Counter(counts.values())
-        y = n[1] / (n[1] + 2 * n[2])
-        d = {}
-        for j in (1, 2, 3):
-            raw = j - (j + 1) * y * n[j + 1] / n[j] if n[j] else -1
-            d[j] = raw if 0.01 <= raw <= j else 0.5 * j
-        ctx, spare = collections.Counter(), collections.Counter()
-        for c, v in counts.items():
-            ctx[c // k] += v
-            spare[c // k] += d[min(v, 3)]
-        return lambda c: (max(0, counts[c] - d[min(counts[c], 3)]) / ctx[c // k] if counts[c] else 0) + (
-            spare[c // k] / ctx[c // k] if ctx[c // k] else 1) * lower(c)
-
-    uni = smooth(collections.Counter(c % k for c in grams), lambda c: 1 / k)
-    bi = smooth(grams, lambda c: uni(c % k))
-    assert np.allclose(np.exp(logp), [bi(c) for c in range(k * k)], rtol=1e-5)
-    assert np.allclose(np.exp(logp).reshape(k, k).sum(axis=1), 1, atol=1e-4)
-
-
 def test_quality_parts_clean_from_junk(spark, sf_dir, docs, nothing):
     labels = common.table(spark, sf_dir, "labels")
     got = by_id(queries.op10_kneser_ney(spark, sf_dir))
