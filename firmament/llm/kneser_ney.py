@@ -6,8 +6,8 @@ token takes 16 bits and a bigram 32. Bigrams of all trusted texts are counted: t
 to shards by bigram and added up there. The number of shards follows the size of the texts and no table of bigrams is ever in
 one place; only what is known of single tokens (contexts and continuations, ``VOCABULARY`` numbers each) goes to every task.
 
-Documents are scored by joining the shards: a task sends each shard the different bigrams of its texts once, with the places
-of the texts they are in; a shard answers with what its counts add to each text's log probability; the parts are summed. Of a
+Documents are scored by joining the shards: a task sends each shard the different bigrams of some thousand texts once, with
+the places of the texts they are in; a shard answers with what its counts add to each text's log probability; the parts are summed. Of a
 trusted text its own occurrences are taken off the counts first, so it is judged like a text the model has not seen.
 
 A text is rejected when its perplexity exceeds a quantile of the trusted texts of its own language (of all trusted texts
@@ -23,6 +23,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ KNOWN = VOCABULARY - OTHERS - 1
 EDGE = 0  # stands before the first and after the last token
 QUANTILE, MARGIN = 0.995, 1.15
 PSEUDO = 10  # tokens of average trusted text that every text is eked out with, so that a few words do not decide
-SHARD_BYTES, LEAST_SHARDS = 128 << 20, 16  # text for each shard
-SLICE = 1 << 14  # texts
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 4  # text for each shard
+SLICE = 5000  # texts
 
 
 @functools.cache
@@ -234,6 +235,7 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
                 by = np.argsort(grams.astype(np.uint64) << U64(20) | of.astype(np.uint64), kind="stable")
                 grams, of = grams[by], of[by]
                 shard = shard_of(grams, shards)
+                docs = docs.append_column("shard", pa.array(np.full(len(n), (task + at) * 0x9E3779B1 % shards), pa.int32()))
                 asked = []
                 for s in np.unique(shard).tolist():
                     g, where = grams[shard == s], of[shard == s]
@@ -244,16 +246,14 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
                 yield from out.select([*names, "shard", "grams", "counts", "texts"]).combine_chunks().to_batches()
                 at += 1
 
-    table = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, counts binary, texts binary")
-    table = materialize(table, "kn-requests")
+    asked = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, counts binary, texts binary")
+    answers = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("part", pa.float64())])
 
-    def answer(key, asked, held):
-        if not held.num_rows:
-            return pa.table({"slice": [], "place": [], "part": []}, PART)
+    def parted(rows, held):
+        """What the counts ``held`` add to each text of the requests ``rows``."""
         model = shared.value[1]
         grams, counts = unpacked(held.column("grams")[0].as_py(), True), unpacked(held.column("counts")[0].as_py())
-        out = []
-        for i, g, c, where in zip(*(asked.column(x) for x in ("slice", "grams", "counts", "texts")), strict=True):
+        for i, g, c, where in zip(*(rows.column(x) for x in ("slice", "grams", "counts", "texts")), strict=True):
             g, c, where = unpacked(g.as_py(), True), unpacked(c.as_py()), unpacked(where.as_py())
             at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
             seen = np.where(grams[at] == g, counts[at], 0).astype(np.int64)
@@ -266,19 +266,21 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
             part = times * model.gain(g[of], np.maximum(seen[of] - times * (where & np.uint32(1)), 0))
             total = np.bincount(where >> np.uint32(1), part)
             place = np.flatnonzero(total)
-            out.append(pa.table([pa.array(np.full(len(place), i.as_py())), pa.array(place, pa.int32()), pa.array(total[place])], PART))
-        return pa.concat_tables(out) if out else pa.table({"slice": [], "place": [], "part": []}, PART)
-
-    asked = table.where("shard is not null").select("shard", "slice", "grams", "counts", "texts")
-    answers = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, "slice long, place int, part double")
-    docs = table.where("shard is null").select("slice", "place", F.col("base").alias("part"), "n", *carried)
-    both = docs.unionByName(answers, allowMissingColumns=True).groupBy("slice", "place").agg(
-        F.sum("part").alias("part"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in carried])
+            yield pa.table([pa.array(np.full(len(place), i.as_py())), pa.array(place, pa.int32()), pa.array(total[place])], answers)
+
+    def answer(key, asked, held):
+        texts = pc.is_null(asked.column("grams"))
+        out = [asked.filter(texts).select(["slice", "place", "base", "n", *carried]).rename_columns(["slice", "place", "part", "n", *carried])]
+        if held.num_rows:
+            out += parted(asked.filter(pc.invert(texts)), held)
+        return pa.concat_tables(out, promote_options="permissive")
+
+    parted_rows = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, f"slice long, place int, part double, n long, {kinds}")
+    both = parted_rows.groupBy("slice", "place").agg(F.sum("part").alias("part"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in carried])
     return both.select(*carried, F.exp(-(F.col("part") + pseudo * mean) / (F.col("n") + pseudo)).alias("perplexity"))
 
 
 ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
-PART = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("part", pa.float64())])
 
 
 def _scores(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float,
