@@ -1,20 +1,18 @@
 """Correlation graphs and linked-versus-unlinked correlation gaps.
 
-Each snapshot's group is ``window x universe`` values (both parameters). Pairs
-are never written out: a group emits its strongest ``k`` pairs or the totals of
-its strata, and linked pairs are scored by joining the edge list.
+Products are made in tiles of firms (``tiles``). Pairs are never written out: tiles emit what passes the threshold of
+the strongest ``k`` pairs, or sums per stratum and the |correlation| of linked pairs, which come to their tile.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.functions.linalg import correlation, top_pairs
 from firmament.operators.graph import SNAPSHOT_KEY
 from firmament.operators.panel import UNKNOWN
+from firmament.operators.tiles import TILE, tile_sums, top_pairs
+from firmament.session import materialize
 
 MIN_ROWS = 60
 MIN_LINKED = 5
@@ -58,79 +56,41 @@ def rows_before(snaps: DataFrame, calendar: DataFrame) -> DataFrame:
     return snaps.join(ranked.select(F.col("date").alias("snap_date"), "end"), "snap_date")
 
 
-def corr_top_pairs(windows: DataFrame, k: DataFrame) -> DataFrame:
+def corr_top_pairs(windows: DataFrame, k: DataFrame, tile: int = TILE) -> DataFrame:
     """The ``k`` most correlated pairs before each snapshot; ``k`` is ``(snap_date, win, k)``."""
+    return top_pairs(windows, k, tile)
 
-    def strongest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        C = correlation(np.stack(pdf["w"].to_numpy()).T)
-        i, j = top_pairs(C, int(pdf["k"].iloc[0]))
-        firm = pdf["firm"].to_numpy()
-        a, b = firm[i], firm[j]
-        return pd.DataFrame({
-            "snap_date": pdf["snap_date"].iloc[0], "win": pdf["win"].iloc[0],
-            "src": np.minimum(a, b), "dst": np.maximum(a, b), "weight": np.abs(C[i, j])})
 
-    schema = "snap_date date, win int, src long, dst long, weight double"
-    return windows.join(k.where(F.col("k") > 0), SNAPSHOT_KEY).groupBy(*SNAPSHOT_KEY).applyInPandas(strongest, schema)
-
-
-def strata_totals(windows: DataFrame) -> DataFrame:
+def strata_totals(windows: DataFrame, tile: int = TILE) -> DataFrame:
     """Pairs and summed |correlation| before each snapshot, per same/cross sector."""
+    return _strata(tile_sums(windows, tile=tile))
 
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        C = np.abs(correlation(np.stack(pdf["w"].to_numpy()).T))
-        sector = pdf["sector"].to_numpy()
-        upper = np.triu(np.ones_like(C, dtype=bool), 1)
-        same = sector[:, None] == sector[None, :]
-        return pd.DataFrame([{
-            "snap_date": pdf["snap_date"].iloc[0], "win": pdf["win"].iloc[0], "same": flag,
-            "pairs": int((upper & (same == flag)).sum()), "total": float(C[upper & (same == flag)].sum()),
-        } for flag in (True, False)])
-
-    return windows.groupBy(*SNAPSHOT_KEY).applyInPandas(
-        totals, "snap_date date, win int, same boolean, pairs long, total double")
-
-
-def standardized(windows: DataFrame) -> DataFrame:
-    """Window arrays centred and scaled to unit length; constant ones become zeros."""
-    size = F.size("w")
-    mean = F.aggregate("w", F.lit(0.0), lambda a, v: a + v) / size
-    peak = F.array_max(F.transform("w", F.abs))
-    return (
-        windows.withColumn("_m", mean).withColumn("_d", F.transform("w", lambda v: v - F.col("_m")))
-        .withColumn("_s", F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, v: a + v * v)))
-        .withColumn("u", F.transform("_d", lambda v: F.when(
-            F.col("_s") > 1e-14 * F.sqrt(size) * peak, v / F.col("_s")).otherwise(0.0)))
-        .drop("_m", "_d", "_s", "w")
-    )
+
+def _strata(sums: DataFrame) -> DataFrame:
+    return sums.where("layer is null").groupBy(*SNAPSHOT_KEY, "same").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
 
 
-def linked_correlations(windows: DataFrame, edges: DataFrame) -> DataFrame:
+def linked_correlations(windows: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame:
     """|correlation| of each linked pair and whether its firms share a sector."""
-    u = standardized(windows)
-    a = u.select(*SNAPSHOT_KEY, F.col("firm").alias("src"), F.col("u").alias("ua"), F.col("sector").alias("sa"))
-    b = u.select(*SNAPSHOT_KEY, F.col("firm").alias("dst"), F.col("u").alias("ub"), F.col("sector").alias("sb"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    return (
-        edges.join(a, [*SNAPSHOT_KEY, "src"]).join(b, [*SNAPSHOT_KEY, "dst"])
-        .select(*SNAPSHOT_KEY, "layer", "src", "dst", F.abs(dot).alias("corr"),
-                (F.col("sa") == F.col("sb")).alias("same"))
-    )
+    return _linked(tile_sums(windows, edges, tile))
+
+
+def _linked(sums: DataFrame) -> DataFrame:
+    return sums.where("layer is not null").select(*SNAPSHOT_KEY, "layer", "src", "dst", F.col("total").alias("corr"), "same")
 
 
-def stratified_gap(windows: DataFrame, edges: DataFrame) -> DataFrame:
+def stratified_gap(windows: DataFrame, edges: DataFrame, tile: int = TILE) -> DataFrame:
     """Mean |correlation| of linked minus unlinked pairs per (snapshot, layer).
 
     ``overall``, ``same_sector`` and ``cross_sector``; a stratum needs three pairs
     on either side, a snapshot five linked pairs and 60 rows.
     """
-    usable = windows.where(F.size("w") >= MIN_ROWS)
-    linked = linked_correlations(usable, edges).groupBy(*SNAPSHOT_KEY, "layer").agg(
+    sums = materialize(tile_sums(windows.where(F.size("w") >= MIN_ROWS), edges, tile), "corr-sums")
+    linked = _linked(sums).groupBy(*SNAPSHOT_KEY, "layer").agg(
         *[F.count_if(F.col("same") == f).alias(f"n_{s}") for s, f in (("same", True), ("cross", False))],
         *[F.coalesce(F.sum(F.when(F.col("same") == f, F.col("corr"))), F.lit(0.0)).alias(f"l_{s}")
           for s, f in (("same", True), ("cross", False))])
-    tot = strata_totals(usable).groupBy(*SNAPSHOT_KEY).agg(
+    tot = _strata(sums).groupBy(*SNAPSHOT_KEY).agg(
         *[F.sum(F.when(F.col("same") == f, F.col(c))).alias(f"{p}_{s}")
           for s, f in (("same", True), ("cross", False)) for c, p in (("pairs", "all"), ("total", "sum"))])
 
