@@ -25,18 +25,35 @@ def statistical_metrics(forecasts: DataFrame, by: tuple[str, ...] = ("model",))
     )
 
 
-def positions(forecasts: DataFrame, top_frac: float = 1.0, by: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Sign bets. Below 1, only the day's strongest ``ceil(top_frac * N)`` signals, ties kept.
+def nth_largest(values: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """``by, least``: of each group of ``values`` (``by, size``) the ``k``-th largest size; ``wanted`` is ``(by, k)``.
 
-    The per-day windows hold one row per universe firm.
+    Sizes are counted in bins of 1/64 of a power of two, so tasks merge counts and not rows; the bin that holds the k-th is
+    then resolved by its distinct sizes. Windows see bins and those sizes, never a group's rows.
     """
+    binned = values.withColumn("bin", F.coalesce(F.floor(F.log2(F.nullif("size", F.lit(0.0))) * 64), F.lit(-(1 << 20))))
+
+    def upto(counts: DataFrame, order: str) -> DataFrame:
+        run = F.sum("n").over(W.partitionBy(*by).orderBy(F.desc(order)))
+        return counts.join(wanted, by).withColumn("upto", run).where(F.col("upto") >= F.col("k"))
+
+    first = upto(binned.groupBy(*by, "bin").agg(F.count("*").alias("n")), "bin").groupBy(*by).agg(
+        F.max_by(F.struct("bin", (F.col("k") - F.col("upto") + F.col("n")).alias("k")), "bin").alias("at"))
+    first = first.select(*by, "at.bin", "at.k")
+    inside = binned.join(first.select(*by, "bin"), [*by, "bin"]).groupBy(*by, "size").agg(F.count("*").alias("n"))
+    run = F.sum("n").over(W.partitionBy(*by).orderBy(F.desc("size")))
+    return inside.join(first.select(*by, "k"), by).withColumn("upto", run).where(F.col("upto") >= F.col("k")).groupBy(*by).agg(
+        F.max("size").alias("least"))
+
+
+def positions(forecasts: DataFrame, top_frac: float = 1.0, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Sign bets. Below 1, only the day's strongest ``ceil(top_frac * N)`` signals, ties kept."""
     f = forecasts.withColumn("pred", F.coalesce("pred", F.lit(0.0))).withColumn("x", F.coalesce("x", F.lit(0.0)))
     if top_frac < 1.0:
-        day = W.partitionBy(*by, "t")
-        k = F.greatest(F.lit(1), F.ceil(F.lit(top_frac) * F.count("*").over(day)))
-        rank = F.rank().over(day.orderBy(F.desc(F.abs("pred"))))
-        f = f.withColumn("_k", k).withColumn("_r", rank).withColumn(
-            "pred", F.when(F.col("_r") <= F.col("_k"), F.col("pred")).otherwise(0.0)).drop("_k", "_r")
+        day = [*by, "t"]
+        k = f.groupBy(*day).agg(F.greatest(F.lit(1), F.ceil(F.lit(top_frac) * F.count("*"))).alias("k"))
+        bound = nth_largest(f.select(*day, F.abs("pred").alias("size")), k, day)
+        f = f.join(bound, day).withColumn("pred", F.when(F.abs("pred") >= F.col("least"), F.col("pred")).otherwise(0.0)).drop("least")
     return f.withColumn("bet", F.signum("pred"))
 
 

@@ -56,6 +56,17 @@ def calendar_missing(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     return inside.join(panel.select("date").distinct(), "date", "left_anti")
 
 
+def gaps_by_firm(panel: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``firm, date``: the trading days between a firm's first and last day that it lacks.
+
+    A firm's days and the calendar are arrays no longer than the calendar, so a firm is one row of the aggregate.
+    """
+    days = calendar.agg(F.array_sort(F.collect_set("date")).alias("c")).select("c").scalar()
+    firm = panel.where(F.col("date").isNotNull()).groupBy("firm").agg(F.collect_set("date").alias("own"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    inside = F.filter("days", lambda d: d.between(F.col("lo"), F.col("hi")))
+    return firm.withColumn("days", days).select("firm", F.explode(F.array_except(inside, "own")).alias("date"))
+
+
 def validate_panel(panel: DataFrame, calendar: DataFrame, value: str = "value",
                    max_missing_days: int = 10, max_missing_cells: int = 50) -> DataFrame:
     """Raise on a broken panel, else return it with missing cells set to 0."""

@@ -566,16 +566,16 @@ calendar AS (SELECT t, min(date) AS date FROM panel GROUP BY t)""", windows(look
 STRUCT_COLS = ["edges", "density", "mean_degree", "max_degree", "isolated", "components", "largest_comp", "clustering",
                "pct_within_sector", "edge_persistence"]
 STAT_OUT = f"{rd('oos_r2')} AS oos_r2, {rd('mse')} AS mse, {rd('mae')} AS mae, {rd('dir_acc')} AS dir_acc"
-SHIP = "ship AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O')"
+SHIP = "ship AS (SELECT DISTINCT l_suppkey AS firm, CAST(l_shipdate AS DATE) AS date FROM lineitem)"
 ORD = "ord AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
 
 ORACLES: dict[str, str] = {
     "panel_weekly": sql(CELLS, f"SELECT date, firm, {rd('volume', 2)} AS volume, {rd('qty', 2)} AS qty FROM cells"),
     "wide_unpivot": sql(CELLS, f"""SELECT k.date, f.firm, {rd('c.volume', 2)} AS value
 FROM (SELECT DISTINCT firm FROM cells) f CROSS JOIN (SELECT DISTINCT date FROM cells) k LEFT JOIN cells c USING (firm, date)"""),
-    "calendar_missing": sql(SHIP, ORD, """SELECT date FROM ord WHERE date BETWEEN (SELECT min(date) FROM ship) AND (SELECT max(date) FROM ship)
-  AND date NOT IN (SELECT date FROM ship)"""),
-    "calendar_extra": sql(SHIP, ORD, "SELECT date FROM ship WHERE date NOT IN (SELECT date FROM ord)"),
+    "calendar_missing": sql(SHIP, ORD, """SELECT firm, date FROM (SELECT firm, min(date) AS lo, max(date) AS hi FROM ship GROUP BY 1) JOIN ord ON date BETWEEN lo AND hi
+  WHERE (firm, date) NOT IN (SELECT (firm, date) FROM ship)"""),
+    "calendar_extra": sql(SHIP, ORD, "SELECT DISTINCT date FROM ship WHERE date NOT IN (SELECT date FROM ord)"),
     "sector_coalesce": sql(SECTORS, "SELECT firm, sector FROM sectors"),
     "universe_topn": sql(CELLS, SECTORS, universe(), f"SELECT pos, firm, {rd('m', 3)} AS mean_value FROM universe"),
     "excess_returns": sql(*market(), f"SELECT t, date, firm, {rd('r')} AS r, {rd('x')} AS x FROM panel"),

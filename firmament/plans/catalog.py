@@ -75,21 +75,22 @@ def wide_unpivot(spark, sf):
 
 
 def _days(spark, sf):
-    """Days with a returned open line, against the days orders were taken."""
-    shipped = D.table(spark, sf, "lineitem").where(
-        (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")).select(F.to_date("l_shipdate").alias("date"))
+    """Days on which each supplier's lines shipped, against the days orders were taken."""
+    shipped = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("firm"), F.to_date("l_shipdate").alias("date"))
     ordered = D.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     return shipped, ordered
 
 
 @query
 def calendar_missing(spark, sf):
+    """Order days inside a supplier's range on which it shipped nothing."""
     shipped, ordered = _days(spark, sf)
-    return P.calendar_missing(shipped, ordered)
+    return P.gaps_by_firm(shipped, ordered)
 
 
 @query
 def calendar_extra(spark, sf):
+    """Ship days on which no order was taken."""
     shipped, ordered = _days(spark, sf)
     return P.calendar_extra(shipped, ordered)
 

@@ -42,6 +42,14 @@ CACHE = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+ATTEMPTS = T.StructType([*CACHE.fields, T.StructField("error", T.StringType())])
+GENERATIONS = T.StructType([*CACHE.fields, T.StructField("gen", T.IntegerType())])
+FAILURES = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("seq", T.LongType()),
+])
+
 SNAPSHOT = T.StructType([
     T.StructField("snap_date", T.DateType()),
     T.StructField("win", T.IntegerType()),

@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_dirs: dict[str, str] = {}  # by application: folders of local sessions without ``spark.checkpoint.dir``
+
+
 def get_session(app: str = "firmament", master: str | None = None, partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -36,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    path = tempfile.mkdtemp(prefix="firmament-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="firmament-")
+    return _own_dirs[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

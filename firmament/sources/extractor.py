@@ -11,20 +11,17 @@ import re
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firmament import schemas as S
 from firmament.functions.text import RELATION_PATTERNS, RUMOR, cache_key
+from firmament.session import materialize
 
 BATCH_SIZE = 20
 
-INSTRUCTIONS = """Report business relationships between two specific companies that a headline itself states.
-Being named together is not a relationship, nor is a fund buying shares, advising on a deal, or litigation.
-Both sides must be companies, named as written. In an acquisition the buyer comes first. Deals that are only
-reported or in talks count, marked as rumors. A headline may hold none, one or several relationships."""
-
-
 def numbered_prompt(headlines: list[str]) -> str:
     return "\n".join(f"{i}. {h}" for i, h in enumerate(headlines))
 
@@ -56,26 +53,90 @@ def latest(cache: DataFrame) -> DataFrame:
     return cache.groupBy("key").agg(F.max_by("relations", "seq").alias("relations"))
 
 
-def extract(todo: DataFrame, extractor: Callable[[list[str]], list[dict]] = pattern_extractor,
-            batch_size: int = BATCH_SIZE, seq: int = 0) -> DataFrame:
-    """Cache rows for ``todo``: an empty list where nothing was found, no row where a batch failed."""
+def attempts(todo: DataFrame, extractor: Callable[[list[str]], list[dict]] = pattern_extractor,
+             batch_size: int = BATCH_SIZE, seq: int = 0) -> DataFrame:
+    """A row per key of ``todo``: its relations (an empty list where nothing was found), or the error of its batch."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), batch_size):
                 part = pdf.iloc[lo: lo + batch_size]
-                try:
-                    found = extractor(part["title"].tolist())
-                except Exception:  # the batch stays uncached and is tried again next run
-                    continue
                 per: dict[int, list[dict]] = {}
-                for rel in found:
-                    rel = dict(rel)
-                    per.setdefault(rel.pop("headline_id"), []).append(rel)
-                yield pd.DataFrame({
-                    "key": part["key"].to_numpy(), "relations": [per.get(i, []) for i in range(len(part))], "seq": seq})
+                error = None
+                try:
+                    for rel in extractor(part["title"].tolist()):
+                        rel = dict(rel)
+                        per.setdefault(rel.pop("headline_id"), []).append(rel)
+                except Exception as exc:  # reported with its keys, which stay uncached and are tried again next run
+                    error = f"{type(exc).__name__}: {exc}"
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "seq": seq, "error": error, "relations": [
+                    None if error else per.get(i, []) for i in range(len(part))]})
+
+    return todo.select("key", "title").mapInPandas(call, S.ATTEMPTS)
+
+
+def extract(todo: DataFrame, extractor: Callable[[list[str]], list[dict]] = pattern_extractor,
+            batch_size: int = BATCH_SIZE, seq: int = 0) -> DataFrame:
+    """Cache rows for ``todo``; no row where a batch failed, see ``attempts`` for those."""
+    return answered(attempts(todo, extractor, batch_size, seq))
+
+
+def answered(tried: DataFrame) -> DataFrame:
+    return tried.where("error is null").select(*S.CACHE.names)
+
+
+class Cache:
+    """Answers by key in a folder, in generations: reading takes the newest alone.
+
+    Runs append to the newest generation. Once it holds ``STALE`` times as many rows as keys, the last answer of each key
+    becomes the next generation, so lookups do not grow with the number of runs. Failed batches are kept beside it, with
+    their error and run.
+    """
+
+    STALE = 2
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.failures = spark, path.rstrip("/"), f"{path.rstrip('/')}-failures"
+
+    def _read(self, path: str, schema: T.StructType) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def generation(self) -> int:
+        held = self._read(self.path, S.GENERATIONS)
+        return 0 if held is None else held.agg(F.max("gen")).first()[0] or 0
+
+    def read(self) -> DataFrame | None:
+        held = self._read(self.path, S.GENERATIONS)
+        return None if held is None else held.where(F.coalesce("gen", F.lit(0)) == self.generation()).select(*S.CACHE.names)
+
+    def failed(self) -> DataFrame:
+        """``key, error, seq`` of what failed and has no answer since."""
+        log, held = self._read(self.failures, S.FAILURES), self.read()
+        log = self.spark.createDataFrame([], S.FAILURES) if log is None else log
+        return log if held is None else log.join(held.select("key").distinct(), "key", "left_anti")
+
+    def add(self, tried: DataFrame) -> int:
+        """Keep the answers and failures of ``attempts``; the number of keys that failed."""
+        tried = materialize(tried, "attempts")
+        answered(tried).withColumn("gen", F.lit(self.generation())).write.mode("append").partitionBy("gen").parquet(self.path)
+        lost = tried.where("error is not null").select(*S.FAILURES.names)
+        n = lost.count()
+        if n:
+            lost.write.mode("append").parquet(self.failures)
+        self.compact()
+        return n
 
-    return todo.select("key", "title").mapInPandas(call, S.CACHE)
+    def compact(self) -> None:
+        held = self.read()
+        rows, keys = held.agg(F.count("*"), F.count_distinct("key")).first()
+        if rows > self.STALE * keys:
+            last = held.groupBy("key").agg(F.max_by("relations", "seq").alias("relations"), F.max("seq").alias("seq"))
+            last.select(*S.CACHE.names).withColumn("gen", F.lit(self.generation() + 1)).write.mode("append").partitionBy("gen").parquet(self.path)
 
 
 def model_edges(articles: DataFrame, cache: DataFrame) -> DataFrame:
@@ -87,14 +148,9 @@ def model_edges(articles: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def run_cached(articles: DataFrame, cache_path: str, extractor=pattern_extractor) -> DataFrame:
-    """Extract what is missing, append it to the cache table, return all edges."""
-    spark = articles.sparkSession
-    try:
-        held = spark.read.schema(S.CACHE).parquet(cache_path)
-        seq = (held.agg(F.max("seq")).first()[0] or 0) + 1
-    except Exception as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        held, seq = None, 0
-    extract(uncached(articles, held), extractor, seq=seq).write.mode("append").parquet(cache_path)
-    return model_edges(articles, spark.read.schema(S.CACHE).parquet(cache_path))
+    """Extract what is missing, keep it in the cache, return all edges. ``Cache.failed`` tells what got no answer."""
+    cache = Cache(articles.sparkSession, cache_path)
+    held = cache.read()
+    seq = 0 if held is None else (held.agg(F.max("seq")).first()[0] or 0) + 1
+    cache.add(attempts(uncached(articles, held), extractor, seq=seq))
+    return model_edges(articles, cache.read())

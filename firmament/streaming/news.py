@@ -22,17 +22,11 @@ def stream_news(spark: SparkSession, folder: str, tickers: DataFrame, max_files:
 
 def stream_extraction(articles: DataFrame, cache_path: str, checkpoint: str,
                       extractor=X.pattern_extractor) -> StreamingQuery:
-    """Extract each arriving headline once; a replayed batch finds its keys cached."""
+    """Extract each arriving headline once; a replayed batch finds its keys cached, what failed is in the cache's log."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(S.CACHE).parquet(cache_path)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            held = None
-        X.extract(X.uncached(batch, held), extractor, seq=epoch).write.mode("append").parquet(cache_path)
+        cache = X.Cache(batch.sparkSession, cache_path)
+        cache.add(X.attempts(X.uncached(batch, cache.read()), extractor, seq=epoch))
 
     return articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

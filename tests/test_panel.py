@@ -204,3 +204,40 @@ def test_folds_and_tuning(spark):
     assert set(rows) == {(100, 1e-4), (100, 5.0), (129, 1e-4), (129, 5.0)}
     assert rows[100, 5.0]["nonzero_per_firm"] == 0 and rows[100, 1e-4]["r2"] > 0
     assert TU.choose_alpha(t, "r2").first()["alpha"] == 1e-4
+
+
+def test_a_wide_day_keeps_its_strongest_without_ranking_its_rows(spark):
+    """Against a sort, with ties, zeros, NULLs and one day of 20,000 firms."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    days = {0: rng.normal(size=20_000).round(3), 1: np.zeros(9), 2: np.array([1.0]), 3: np.array([2.0, -2.0, 1.0, 0.0, 3.0, 1e-300])}
+    rows = [("m", t, i, float(v), 1.0) for t, vs in days.items() for i, v in enumerate(vs)] + [("m", 3, 99, None, 1.0)]
+    f = spark.createDataFrame(rows, "model string, t int, firm int, pred double, x double")
+    for frac in (0.001, 0.25, 0.5):
+        got = {(r["t"], r["firm"]) for r in M.positions(f, frac).where("bet <> 0").collect()}
+        want = set()
+        for t in days:
+            size = sorted((abs(r[3] or 0.0) for r in rows if r[1] == t), reverse=True)
+            least = size[max(1, int(np.ceil(frac * len(size)))) - 1]
+            want |= {(t, r[2]) for r in rows if r[1] == t and r[3] and abs(r[3]) >= least}
+        assert got == want
+    assert M.positions(f.where("false"), 0.5).isEmpty()
+
+
+def test_gaps_lie_between_a_firms_first_and_last_day(spark):
+    day = [f"2020-01-0{i}" for i in range(1, 8)]
+    panel = spark.createDataFrame([(1, day[1]), (1, day[4]), (1, day[4]), (2, day[0]), (3, None)], "firm int, d string").select("firm", F.to_date("d").alias("date"))
+    cal = spark.createDataFrame([(d,) for d in day if d != day[2]], "d string").select(F.to_date("d").alias("date"))
+    assert [(r["firm"], str(r["date"])) for r in P.gaps_by_firm(panel, cal).collect()] == [(1, day[3])]
+    assert P.gaps_by_firm(panel.where("false"), cal).isEmpty()
+
+
+def test_a_local_session_without_a_shared_folder_uses_its_own(tmp_path):
+    import os
+    import subprocess
+    import sys
+    code = ("from firmament import session as S; s = S.get_session('x', 'local[1]', 1); assert s.conf.get('spark.checkpoint.dir', None) is None; "
+            "a = S.shared_dir(s); assert a == S.shared_dir(s); assert S.materialize(s.range(3), 't').count() == 3; print('kept', a)")
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(sys.path)}
+    out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "kept" in out.stdout, out.stderr[-2000:]

@@ -207,6 +207,33 @@ def test_extractor_cache(spark, articles, tmp_path):
     assert E.numbered_prompt(["a", "b"]) == "0. a\n1. b"
 
 
+def test_failed_batches_are_kept_with_their_error_and_tried_again(spark, articles, tmp_path):
+    cache = E.Cache(spark, str(tmp_path / "cache"))
+
+    def failing(headlines):
+        if any("Zed" in h for h in headlines):
+            raise RuntimeError("no answer")
+        return E.pattern_extractor(headlines)
+
+    n = cache.add(E.attempts(E.uncached(articles, cache.read()), failing, batch_size=1))
+    lost = {r["key"]: (r["error"], r["seq"]) for r in cache.failed().collect()}
+    assert n == len(lost) == sum("Zed" in h for h in HEADLINES) and set(lost.values()) == {("RuntimeError: no answer", 0)}
+    assert {r["key"] for r in E.uncached(articles, cache.read()).collect()} == set(lost)
+    assert cache.add(E.attempts(E.uncached(articles, cache.read()), batch_size=1, seq=1)) == 0
+    assert cache.failed().isEmpty() and E.uncached(articles, cache.read()).isEmpty()
+
+
+def test_repeated_runs_do_not_grow_lookups(spark, articles, tmp_path):
+    cache = E.Cache(spark, str(tmp_path / "cache"))
+    todo = E.uncached(articles, None)
+    for seq in range(7):
+        cache.add(E.attempts(todo, lambda hs, s=seq: [{"headline_id": i, "firm_a": f"run{s}", "firm_b": "b", "relation": "r", "rumor": False}
+                                                      for i in range(len(hs))], seq=seq))
+        assert cache.read().count() <= E.Cache.STALE * todo.count() and cache.read().select("key").distinct().count() == todo.count()
+        assert {r["relations"][0]["firm_a"] for r in E.latest(cache.read()).collect()} == {f"run{seq}"}
+    assert cache.generation() == 3
+
+
 def test_last_cached_answer_wins(spark):
     r = [("k", [("A", "B", "supplier", False)], 0), ("k", [("C", "D", "competitor", True)], 1)]
     df = spark.createDataFrame(r, E.S.CACHE)
