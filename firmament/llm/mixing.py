@@ -3,12 +3,16 @@
 A naive Bayes classifier over hashed words, fitted on a bounded sample of labelled rows, gives each document its
 probabilities of the domains (softened, so that a long text does not turn them into zeros and ones). The rates are then
 the nonnegative solution of a least-squares problem: the sum over documents of rate x tokens x probability should be the
-target of each domain. Projected gradient steps solve it; a step needs one sum per domain over a table of a few numbers
-per document, and the rates follow from the steps so far, so nothing else is kept between steps.
-
-Null and empty texts have no tokens, the domains' shares in the sample as probabilities, and the rate those give.
-Rows with a null domain are not fitted. A domain outside the targets is no domain. Without labelled rows all domains are
-equally likely. Repeated rows are documents of their own.
+target of each domain, with a slight pull (``RIDGE``) towards rate one that settles which of many solutions it is. Gradients
+lie in the span of the probabilities, so all rates are ``max(least, 1 - p . s)`` with one number ``s`` per domain, the sum of the
+steps taken. A step is scaled by the curvature of the documents that are not at the bound, a matrix of domains by domains,
+and halved until it brings the totals nearer; it needs a few sums over a table of a few numbers per document. Steps
+end when the projected gradient is nothing; ``Rates.error`` is how far the totals then are from the targets.
+
+Null and empty texts have no tokens, the domains' shares in the sample as probabilities, and the rate those give; texts of
+any length are read whole. Rows with a null domain are not fitted. A domain outside the targets is no domain. Without labelled
+rows all domains are equally likely. Repeated rows are documents of their own. An empty table gives an empty one. Columns
+called ``rate`` or ``copy`` are replaced in a mixture; all others may have any name and stay as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import math
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ from firmament.llm.common import body, join_small, materialize, words
 
 BINS, SAMPLE = 1024, 20_000  # hashed words; labelled rows that are fitted
 WEIGHT = 12.0  # a text counts as so many words, however long
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE, RIDGE = 100, 1e-6, 1e-4
 
 
 def binned(tokens: Column) -> Column:
@@ -73,56 +78,74 @@ class Membership:
 
 
 class Rates:
-    """The steps taken; a document's rate is what they make of its probabilities."""
+    """The sum of the steps taken; a document's rate is what it makes of its probabilities."""
+
+    def __init__(self, steps: list[float], least: float, totals: list[float], target: list[float], slope: float = 0.0):
+        self.steps, self.least, self.totals, self.target, self.slope = steps, least, totals, target, slope
 
-    def __init__(self, steps: list[list[float]], least: float, totals: list[float], target: list[float]):
-        self.steps, self.least, self.totals, self.target = steps, least, totals, target
+    @property
+    def error(self) -> float:
+        """The largest difference of a domain's tokens from its target, as a share of all tokens wanted."""
+        return max((abs(a - b) for a, b in zip(self.totals, self.target, strict=True)), default=0.0) / max(sum(self.target), 1.0)
 
     def column(self) -> Column:
-        rate = F.lit(max(1.0, self.least))
-        for g in self.steps:
-            rate = F.greatest(F.lit(self.least), rate - reduce(add, (F.col(f"p_{i}") * v for i, v in enumerate(g))))
-        return rate
+        moved = reduce(add, (F.col(f"p_{i}") * v for i, v in enumerate(self.steps)), F.lit(0.0))
+        return F.greatest(F.lit(self.least), F.lit(max(1.0, self.least)) - moved)
 
     @classmethod
     def fit(cls, members: DataFrame, weights: list[float], least: float = 0.0, tokens: float | None = None) -> Rates:
         """``members`` (n_tokens, p_0..): a written table, read once a step. ``tokens``: the wanted total; by default the
         smallest at which no domain has to be cut, so scarce domains are repeated and none is thinned."""
         k = len(weights)
-        share = [w / sum(weights) for w in weights]
+        share = np.array(weights) / sum(weights)
         n = F.col("n_tokens").cast("double")
-        cross = members.agg(*(F.sum(n * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)),
-                            *(F.sum(n * F.col(f"p_{i}")).alias(f"t{i}") for i in range(k))).first()
-        have = [cross[f"t{i}"] or 0.0 for i in range(k)]
-        if not sum(have):
-            return cls([], least, have, have)
-        tokens = max(h / s for h, s in zip(have, share, strict=True)) if tokens is None else tokens
-        target = [tokens * s for s in share]
+
+        def sums(rates: Rates) -> tuple[np.ndarray, np.ndarray]:
+            """Totals by domain, and the curvature of the documents whose rate is above ``least``."""
+            r = rates.column()
+            free = F.when(r > rates.least, n).otherwise(0.0)
+            row = members.agg(*(F.sum(n * F.col(f"p_{i}") * r).alias(f"t{i}") for i in range(k)),
+                              *(F.sum(free * F.col(f"p_{i}") * F.col(f"p_{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k))).first()
+            return (np.array([row[f"t{i}"] or 0.0 for i in range(k)]),
+                    np.array([[row[f"c{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]))
+
+        start, curve = sums(cls([0.0] * k, -1.0, [], []))
+        if not start.sum():
+            return cls([0.0] * k, least, start.tolist(), start.tolist())
+        tokens = float(np.max(start / share)) if tokens is None else tokens
+        target = tokens * share
         # Each domain's error is weighed by its own curvature, which makes the problem well-conditioned.
-        m = [1 / max(cross[f"c{i}_{i}"], 1e-9) for i in range(k)]
-        curve = [[cross[f"c{min(i, j)}_{max(i, j)}"] * math.sqrt(m[i] * m[j]) for j in range(k)] for i in range(k)]
-        step = 1 / max(sum(map(abs, row)) for row in curve)
-        rates = cls([], least, have, target)
+        weigh = np.maximum(np.diag(curve), 1e-9)
+        at = np.zeros(k)
+        totals, curve = sums(cls(at.tolist(), least, [], []))
+
+        def off(at: np.ndarray, totals: np.ndarray) -> np.ndarray:
+            """What is left of the gradient, in tokens."""
+            return totals - target - RIDGE * at * weigh
+
         for _ in range(STEPS):
-            rate = rates.column()
-            now = members.agg(*(F.sum(n * F.col(f"p_{i}") * rate).alias(f"t{i}") for i in range(k))).first()
-            before, rates.totals = rates.totals, [now[f"t{i}"] for i in range(k)]
-            moved = max(abs(a - b) for a, b in zip(before, rates.totals, strict=True))
-            off = [a - b for a, b in zip(rates.totals, target, strict=True)]
-            if max(abs(o) for o in off) <= TOLERANCE * tokens or rates.steps and moved <= TOLERANCE * tokens:
-                break  # met, or as near as rates from ``least`` on can come
-            rates.steps.append([step * m[i] * off[i] for i in range(k)])
-        return rates
+            left = off(at, totals)
+            if np.abs(left).max() <= TOLERANCE * tokens:
+                break
+            step, size = np.linalg.solve(curve + 1.00001 * RIDGE * np.diag(weigh), left), 1.0
+            while True:
+                then, curve_then = sums(cls((at + size * step).tolist(), least, [], []))
+                now = off(at + size * step, then)
+                if size < 1e-3 or now @ (now / weigh) < (1 - 1e-4 * size) * (left @ (left / weigh)):
+                    break
+                size /= 2
+            at, totals, curve = at + size * step, then, curve_then
+        return cls(at.tolist(), least, totals.tolist(), target.tolist(), float(np.abs(off(at, totals)).max() / tokens))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
                  domain_col: str = "lang", least: float = 0.0) -> tuple[DataFrame, Membership, Rates]:
     """Per row: id, ``n_tokens``, ``p_<i>`` by domain and ``rate``; and the fitted classifier and rates."""
     member = Membership.fit(docs, labelled, list(targets), id_col, text_col, domain_col)
-    src = docs.select(F.col(id_col), F.col(text_col))
-    table = materialize(member.add_to(src, text_col).drop(text_col), "mix-members")
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    table = materialize(member.add_to(src, "_text").drop("_text"), "mix-members")
     rates = Rates.fit(table, list(targets.values()), least)
-    return table.withColumn("rate", rates.column()), member, rates
+    return table.withColumn("rate", rates.column()).withColumnRenamed("_id", id_col), member, rates
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -134,8 +157,10 @@ def copies(rate: Column, *key: Column) -> Column:
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
           domain_col: str = "lang", least: float = 1.0) -> DataFrame:
     """``docs`` with each row repeated by its rate: ``rate`` and ``copy`` (from 0) are added."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("rate", "copy")])
     _, member, rates = mixing_rates(docs, labelled, targets, id_col, text_col, domain_col, least)
-    out = member.add_to(docs, text_col).withColumn("rate", rates.column())
-    n = copies(F.col("rate"), F.col(id_col), F.col(text_col))
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    out = member.add_to(whole, "_text").withColumn("rate", rates.column())
+    n = copies(F.col("rate"), F.col("_id"), F.col("_text"))
     out = out.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.select(*docs.columns, "rate", "copy")
+    return out.select("_row.*", "rate", "copy")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import body, join_small, materialize, words
+from firmament.llm.common import body, free_name, join_measured, join_small, materialize, words
 
 WINDOW, RUN = 10, 5
 GUARD = WINDOW - RUN + 1
@@ -89,7 +89,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a window of an item; rows are told apart by their text."""
-    found = contamination(docs.select(F.md5(body(text_col)).alias("_digest"), F.col(text_col)), items, "_digest", text_col)
-    hit = materialize(found.where("n_hit > 0").select(F.col("_digest")).distinct(), "bench-drop")
-    return join_small(docs.withColumn("_digest", F.md5(body(text_col))), hit, "_digest", "left_anti").drop("_digest")
+    """``docs`` without the rows whose text holds a window of an item; rows are told apart by their text.
+
+    All columns stay as they are, whatever their names.
+    """
+    texts = docs.select(F.md5(body(text_col)).alias("_digest"), F.col(text_col).alias("text"))
+    found = contamination(texts, items, "_digest")
+    digest = free_name("digest", docs)
+    hit = materialize(found.where("n_hit > 0").select(F.col("_digest").alias(digest)).distinct(), "bench-drop")
+    return join_measured(docs.withColumn(digest, F.md5(body(text_col))), hit, digest, "left_anti").drop(digest)

@@ -398,16 +398,43 @@ def test_directory_finds_members(zip64):
 
 # ---- mixing --------------------------------------------------------------------
 
-def test_rates_meet_targets_and_equal_a_dense_solution(spark):
+def dense_rates(n, p, target, least, steps=20_000):
+    """The same problem by accelerated gradients over all rates."""
+    m = 1 / ((p * p * n[:, None]).sum(0))
+    long = 1 / (np.abs((p * n[:, None]).T @ p * np.sqrt(np.outer(m, m))).sum(1).max() + mixing.RIDGE)
+    r = y = np.full(len(n), max(1.0, least))
+    t = 1.0
+    for _ in range(steps):
+        then = np.maximum(least, y - long * (p @ (m * ((y * n) @ p - target)) + mixing.RIDGE * (y - 1)))
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = then + (t - 1) / s * (then - r), then, s
+    return r
+
+
+@pytest.mark.parametrize("least,share", [(0.0, [0.25] * 4), (0.0, [0.85, 0.1, 0.04, 0.01]), (1.0, [0.6, 0.2, 0.1, 0.1]), (1.0, [0.85, 0.05, 0.05, 0.05])])
+def test_rates_equal_a_dense_solution(spark, least, share):
     rng = np.random.default_rng(5)
-    n, p = rng.integers(1, 500, 300), rng.dirichlet([0.3, 0.2], 300)
-    members = spark.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(n, p)], "n_tokens long, p_0 double, p_1 double").cache()
-    rates = mixing.Rates.fit(members, [0.7, 0.3])
-    r = np.array([x.r for x in members.select(rates.column().alias("r")).collect()])
-    total = (r * n) @ p
-    assert np.all(r >= 0) and np.allclose(total / total.sum(), [0.7, 0.3], atol=2e-3)
-    least = mixing.Rates.fit(members, [0.7, 0.3], least=1.0)
-    assert min(x.r for x in members.select(least.column().alias("r")).collect()) >= 1
+    n = rng.integers(1, 500, 3000).astype(float)
+    p = np.array([rng.dirichlet(np.where(np.arange(4) == d, 4.0, 0.25)) for d in rng.choice(4, len(n), p=share)])
+    rows = [(int(a), *map(float, b)) for a, b in zip(n, p)]
+    members = spark.createDataFrame(rows, "n_tokens long, p_0 double, p_1 double, p_2 double, p_3 double").coalesce(4).cache()
+    want = np.array([0.4, 0.2, 0.2, 0.2])
+    rates = mixing.Rates.fit(members, list(want), least)
+    got = members.select("n_tokens", "p_0", rates.column().alias("r")).collect()
+    rate = {(r.n_tokens, r.p_0): r.r for r in got}
+    r = np.array([rate[row[:2]] for row in rows])
+    target = np.array(rates.target)
+    dense = dense_rates(n, p, target, least)
+    assert np.all(r >= least) and np.allclose((r * n) @ p, rates.totals, rtol=1e-9) and rates.slope <= mixing.TOLERANCE
+    assert np.abs((r * n) @ p - (dense * n) @ p).max() < 1e-3 * target.sum() and np.allclose(r, dense, rtol=0.02, atol=0.02)
+    assert rates.error == pytest.approx(np.abs((r * n) @ p - target).max() / target.sum()) and rates.error < (1e-3 if least == 0 else 0.02)
+
+
+def test_columns_of_any_name_survive_mixing(docs):
+    clash = docs.withColumns({c: F.lit(7) for c in ("n_tokens", "p_0", "_w", "_b", "rate", "copy", "_row", "_text", "_id")})
+    out = mixing.mixed(clash, docs.select("doc_id").where("doc_id > 0"), {"en": 0.5, "fr": 0.5})
+    assert sorted(out.columns) == sorted(clash.columns) and out.where("n_tokens <> 7 or p_0 <> 7 or _w <> 7 or _id <> 7").isEmpty()
+    assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and not out.where("copy = 0 and rate >= 1").isEmpty()
 
 
 def test_mixing_of_documents(spark, sf_dir, docs, nothing):
