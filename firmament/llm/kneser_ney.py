@@ -37,6 +37,7 @@ QUANTILE, MARGIN = 0.995, 1.15
 PSEUDO = 10  # tokens of average trusted text that every text is eked out with, so that a few words do not decide
 SHARD_BYTES, LEAST_SHARDS = 32 << 20, 4  # text for each shard
 SLICE = 5000  # texts
+PIECE = 1 << 21  # tokens counted at a time
 
 
 @functools.cache
@@ -91,8 +92,23 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((grams * np.uint32(0x9E3779B1)).astype(np.uint64) * U64(shards) >> U64(32)).astype(np.int32)
 
 
-def _batch(b) -> list[np.ndarray]:
-    return [h for group in text_groups(b.to_pylist()) for h in token_lists(group)]
+def _hashed(texts: pa.Array):
+    """The token hashes of each text, a few texts at a time."""
+    for group in text_groups(texts.to_pylist()):
+        yield from token_lists(group)
+
+
+def pieces(arrays, size: int = PIECE):
+    """The elements of many arrays, in runs of some ``size`` elements."""
+    held, n = [], 0
+    for a in arrays:
+        held.append(a)
+        n += len(a)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def known_tokens(texts: DataFrame, most: int = KNOWN) -> np.ndarray:
@@ -100,7 +116,11 @@ def known_tokens(texts: DataFrame, most: int = KNOWN) -> np.ndarray:
 
     def tally(batches):
         for b in batches:
-            h, c = np.unique(np.concatenate([np.empty(0, U64), *_batch(b.column(0))]), return_counts=True)
+            h, c = np.empty(0, U64), np.empty(0, np.int64)
+            for piece in pieces(_hashed(b.column(0))):
+                new, n = np.unique(piece, return_counts=True)
+                h, at = np.unique(np.concatenate([h, new]), return_inverse=True)
+                c = np.bincount(at, np.concatenate([c, n]), len(h)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
     counts = texts.select("t").mapInArrow(tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -114,11 +134,11 @@ def bigram_shards(texts: DataFrame, known: np.ndarray, shards: int) -> DataFrame
 
     def count(batches):
         for b in batches:
-            held = [bigrams(numbered(h, shared.value)) for h in _batch(b.column(0))]
-            grams, c = np.unique(np.concatenate([np.empty(0, np.uint32), *held]), return_counts=True)
-            of = shard_of(grams, shards)
-            rows = [(s, packed(grams[of == s], True), packed(c[of == s])) for s in np.unique(of).tolist()]
-            yield pa.RecordBatch.from_pylist([{"shard": s, "grams": g, "counts": n} for s, g, n in rows], PARTS)
+            for piece in pieces(bigrams(numbered(h, shared.value)) for h in _hashed(b.column(0))):
+                grams, c = np.unique(piece, return_counts=True)
+                of = shard_of(grams, shards)
+                rows = [(s, packed(grams[of == s], True), packed(c[of == s])) for s in np.unique(of).tolist()]
+                yield pa.RecordBatch.from_pylist([{"shard": s, "grams": g, "counts": n} for s, g, n in rows], PARTS)
 
     def added(key, table):
         grams = np.concatenate([unpacked(x.as_py(), True) for x in table.column("grams")])
@@ -224,16 +244,19 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
                 own = np.array(b.column("own").to_pylist(), dtype=bool)
-                lists = [bigrams(numbered(h, known)) for h in _batch(b.column("t"))]
+                lists = [bigrams(numbered(h, known)) for h in _hashed(b.column("t"))]
                 base = [float((model.back[g >> np.uint32(16)] + model.single[g & np.uint32(0xFFFF)]).sum()) for g in lists]
                 n = np.array([len(g) for g in lists])
                 names = ["slice", "place", "base", "n", *carried]
                 cols = [pa.array(np.full(len(n), task + at)), pa.array(np.arange(len(n)), pa.int32()), pa.array(base, pa.float64()), pa.array(n, pa.int64()),
                         *(b.column(c) for c in carried)]
                 docs = pa.table(dict(zip(names, cols, strict=True)))
-                grams, of = np.concatenate(lists), np.repeat(np.arange(len(n)) << 1 | own, n)
-                by = np.argsort(grams.astype(np.uint64) << U64(20) | of.astype(np.uint64), kind="stable")
-                grams, of = grams[by], of[by]
+                key = np.concatenate(lists).astype(np.uint64) << U64(20)
+                key |= np.repeat((np.arange(len(n)) << 1 | own).astype(np.uint64), n)
+                del lists
+                key.sort()
+                grams, of = (key >> U64(20)).astype(np.uint32), (key & U64(0xFFFFF)).astype(np.uint32)
+                del key
                 shard = shard_of(grams, shards)
                 docs = docs.append_column("shard", pa.array(np.full(len(n), (task + at) * 0x9E3779B1 % shards), pa.int32()))
                 asked = []

@@ -35,6 +35,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 5
 SHORT = 40  # k-mers
 PIECE = 1 << 18  # k-mers times orders hashed at a time
+TEXTS = 2000  # whose k-mers are counted at a time
 FREQUENT = 1 << 18  # k-mers whose numbers of texts are known to every task
 
 
@@ -135,9 +136,11 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, threshold: float =
 
     def sketch(batches):
         for b in batches:
-            lists = list(kmer_lists(b.column(2).to_pylist()))
-            keys = [order_sketches(x).tobytes() + prefix_keys(x, threshold).tobytes() if len(x) else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, lists), pa.int32()), pa.array(keys, pa.binary())],
+            n, keys = [], []
+            for x in kmer_lists(b.column(2).to_pylist()):
+                n.append(len(x))
+                keys.append(order_sketches(x).tobytes() + prefix_keys(x, threshold).tobytes() if len(x) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.binary())],
                                              ["id", "digest", "n", "keys"])
 
     return src.mapInArrow(sketch, "id long, digest string, n int, keys binary")
@@ -202,10 +205,11 @@ def frequent(seqs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndar
     chosen so that there are at most ``most``."""
 
     def tally(batches):
-        for b in batches:
-            held = [np.frombuffer(x, U64) for x in b.column(0).to_pylist()]
-            kmer, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(c, pa.int64())], ["kmer", "c"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                held = [np.frombuffer(x.as_py(), U64) for x in whole.column(0).slice(lo, TEXTS)]
+                kmer, c = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(c, pa.int64())], ["kmer", "c"])
 
     counts = seqs.select("seq").mapInArrow(tally, "kmer long, c long").groupBy("kmer").agg(F.sum("c").alias("c")).where("c > 1")
     counts = materialize(counts, "omh-counts")
@@ -231,8 +235,8 @@ def prefixes(seqs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         known, df = shared.value
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for i, n, c, raw in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                x = np.frombuffer(raw, U64)
+            for i, n, c, raw in zip(*b.columns, strict=True):
+                i, n, c, x = i.as_py(), n.as_py(), c.as_py(), np.frombuffer(raw.as_py(), U64)
                 at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
                 often = np.where(known[at] == x, df[at], 0) if len(known) else np.zeros(n, np.int64)
                 x = x[np.lexsort((x, often))][:n - int(np.ceil(threshold * n - 1e-9)) + 1]
