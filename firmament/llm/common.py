@@ -140,5 +140,11 @@ def text_groups(texts: list[str], size: int = 1 << 18):
         yield held
 
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "free_name", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
+def column_groups(column, rows: int = 1000):
+    """``text_groups`` of an Arrow column, of which only some ``rows`` are Python strings at a time."""
+    for lo in range(0, len(column), rows):
+        yield from text_groups(column.slice(lo, rows).to_pylist())
+
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "column_groups", "free_name", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
            "ship_package", "table", "word_hashes", "words"]

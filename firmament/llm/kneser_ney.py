@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import U64, body, code_points, free_name, join_measured, join_small, materialize, segment_hashes, ship_package, text_groups
+from firmament.llm.common import U64, body, code_points, column_groups, free_name, join_measured, join_small, materialize, segment_hashes, ship_package
 
 VOCABULARY, OTHERS = 1 << 16, 1 << 12
 KNOWN = VOCABULARY - OTHERS - 1
@@ -94,7 +94,7 @@ def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
 
 def _hashed(texts: pa.Array):
     """The token hashes of each text, a few texts at a time."""
-    for group in text_groups(texts.to_pylist()):
+    for group in column_groups(texts):
         yield from token_lists(group)
 
 

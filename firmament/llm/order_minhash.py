@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import U64, body, free_name, join_measured, materialize, mix, ship_package, text_groups, word_hash_lists
+from firmament.llm.common import U64, body, column_groups, free_name, join_measured, materialize, mix, ship_package, text_groups, word_hash_lists
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 5
 SHORT = 40  # k-mers
 PIECE = 1 << 18  # k-mers times orders hashed at a time
-TEXTS = 2000  # whose k-mers are counted at a time
+TEXTS = 2000  # whose k-mers a task holds at a time
 FREQUENT = 1 << 18  # k-mers whose numbers of texts are known to every task
 
 
@@ -64,6 +64,17 @@ def kmer_lists(texts: list[str]):
         yield from map(labelled_kmers, word_hash_lists(group))
 
 
+def column_kmers(column: pa.Array):
+    for group in column_groups(column):
+        yield from map(labelled_kmers, word_hash_lists(group))
+
+
+def by_rows(batches, rows: int = TEXTS):
+    """The batches cut to at most ``rows`` rows."""
+    for b in batches:
+        yield from (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+
+
 @functools.cache
 def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64)) | U64(1)
@@ -135,9 +146,9 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     src = src.select("id", F.md5("t").alias("digest"), "t")
 
     def sketch(batches):
-        for b in batches:
+        for b in by_rows(batches):
             n, keys = [], []
-            for x in kmer_lists(b.column(2).to_pylist()):
+            for x in column_kmers(b.column(2)):
                 n.append(len(x))
                 keys.append(order_sketches(x).tobytes() + prefix_keys(x, threshold).tobytes() if len(x) else b"")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(keys, pa.binary())],
@@ -151,14 +162,14 @@ def links(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> D
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "omh-ends")
 
     def encode(batches):
-        for b in batches:
-            seqs = [(x >> U64(32)).astype(np.uint32).tobytes() for x in kmer_lists(b.column(1).to_pylist())]
+        for b in by_rows(batches):
+            seqs = [(x >> U64(32)).astype(np.uint32).tobytes() for x in column_kmers(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seqs, pa.binary())], ["id", "seq"])
 
     seqs = materialize(join_measured(texts, ends, "id").select("id", "t").mapInArrow(encode, "id long, seq binary"), "omh-seqs")
 
     def verify(batches):
-        for b in batches:
+        for b in by_rows(batches):
             held: tuple = (None, None)
             keep = []
             for raw_a, raw_b in zip(b.column(2), b.column(3), strict=True):
@@ -205,11 +216,10 @@ def frequent(seqs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndar
     chosen so that there are at most ``most``."""
 
     def tally(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, TEXTS):
-                held = [np.frombuffer(x.as_py(), U64) for x in whole.column(0).slice(lo, TEXTS)]
-                kmer, c = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(c, pa.int64())], ["kmer", "c"])
+        for b in by_rows(batches):
+            held = [np.frombuffer(x.as_py(), U64) for x in b.column(0)]
+            kmer, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(c, pa.int64())], ["kmer", "c"])
 
     counts = seqs.select("seq").mapInArrow(tally, "kmer long, c long").groupBy("kmer").agg(F.sum("c").alias("c")).where("c > 1")
     counts = materialize(counts, "omh-counts")
@@ -233,7 +243,7 @@ def prefixes(seqs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def first(batches):
         known, df = shared.value
-        for b in batches:
+        for b in by_rows(batches):
             cols: list[list] = [[], [], [], [], [], []]
             for i, n, c, raw in zip(*b.columns, strict=True):
                 i, n, c, x = i.as_py(), n.as_py(), c.as_py(), np.frombuffer(raw.as_py(), U64)
@@ -260,8 +270,8 @@ def unmet(texts: DataFrame, keyed: DataFrame, classes: DataFrame, met: DataFrame
     left = materialize(open_texts(keyed, classes), "omh-open")
 
     def encode(batches):
-        for b in batches:
-            seqs = [x.tobytes() for x in kmer_lists(b.column(3).to_pylist())]
+        for b in by_rows(batches):
+            seqs = [x.tobytes() for x in column_kmers(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(seqs, pa.binary())], ["id", "n", "class_id", "seq"])
 
     src = join_measured(texts.select("id", "t"), left, "id").select("id", "n", "class_id", "t")
