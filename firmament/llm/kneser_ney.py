@@ -36,8 +36,8 @@ EDGE = 0  # stands before the first and after the last token
 QUANTILE, MARGIN = 0.995, 1.15
 PSEUDO = 10  # tokens of average trusted text that every text is eked out with, so that a few words do not decide
 SHARD_BYTES, LEAST_SHARDS = 32 << 20, 4  # text for each shard
-SLICE = 5000  # texts
-PIECE = 1 << 21  # tokens counted at a time
+SLICE = 2500  # texts
+PIECE = 1 << 20  # tokens counted at a time
 
 
 @functools.cache
