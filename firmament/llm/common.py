@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +129,18 @@ def word_hash_lists(texts: list[str]) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(at[starts], edges))
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that numpy and Arrow have freed to the system; a reused Python worker would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def text_groups(texts: list[str], size: int = 1 << 18):
     """Runs of texts of some ``size`` characters, one longer text alone."""
     held, n = [], 0
@@ -146,5 +160,5 @@ def column_groups(column, rows: int = 1000):
         yield from text_groups(column.slice(lo, rows).to_pylist())
 
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "column_groups", "free_name", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "ascii_lower", "body", "code_points", "column_groups", "free_name", "give_back", "join_measured", "join_small", "materialize", "mix", "segment_hashes",
            "ship_package", "table", "word_hashes", "words"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import U64, body, column_groups, free_name, join_measured, materialize, mix, ship_package, text_groups, word_hash_lists
+from firmament.llm.common import U64, body, column_groups, free_name, give_back, join_measured, materialize, mix, ship_package, text_groups, word_hash_lists
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLE = 32, 5
@@ -72,7 +72,9 @@ def column_kmers(column: pa.Array):
 def by_rows(batches, rows: int = TEXTS):
     """The batches cut to at most ``rows`` rows."""
     for b in batches:
-        yield from (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+            give_back()
 
 
 @functools.cache
