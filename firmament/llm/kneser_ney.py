@@ -7,7 +7,8 @@ to shards by bigram and added up there. The number of shards follows the size of
 one place; only what is known of single tokens (contexts and continuations, ``VOCABULARY`` numbers each) goes to every task.
 
 Documents are scored by joining the shards: a task sends each shard the different bigrams of some thousand texts once, with
-the places of the texts they are in; a shard answers with what its counts add to each text's log probability; the parts are summed. Of a
+the places of the texts they are in; a shard answers each request with one row that has what its counts add to its texts' log probabilities; the rows of a slice
+are summed together. Of a
 trusted text its own occurrences are taken off the counts first, so it is judged like a text the model has not seen.
 
 A text is rejected when its perplexity exceeds a quantile of the trusted texts of its own language (of all trusted texts
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import U64, body, code_points, column_groups, free_name, join_measured, join_small, materialize, segment_hashes, ship_package
+from firmament.llm.common import U64, body, code_points, column_groups, free_name, give_back, join_measured, materialize, segment_hashes, ship_package
 
 VOCABULARY, OTHERS = 1 << 16, 1 << 12
 KNOWN = VOCABULARY - OTHERS - 1
@@ -121,6 +122,7 @@ def known_tokens(texts: DataFrame, most: int = KNOWN) -> np.ndarray:
                 new, n = np.unique(piece, return_counts=True)
                 h, at = np.unique(np.concatenate([h, new]), return_inverse=True)
                 c = np.bincount(at, np.concatenate([c, n]), len(h)).astype(np.int64)
+                give_back()
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
 
     counts = texts.select("t").mapInArrow(tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -139,6 +141,7 @@ def bigram_shards(texts: DataFrame, known: np.ndarray, shards: int) -> DataFrame
                 of = shard_of(grams, shards)
                 rows = [(s, packed(grams[of == s], True), packed(c[of == s])) for s in np.unique(of).tolist()]
                 yield pa.RecordBatch.from_pylist([{"shard": s, "grams": g, "counts": n} for s, g, n in rows], PARTS)
+                give_back()
 
     def added(key, table):
         grams = np.concatenate([unpacked(x.as_py(), True) for x in table.column("grams")])
@@ -239,7 +242,8 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
 
     def request(batches):
         known, model = shared.value
-        task, at = TaskContext.get().partitionId() << 32, 0
+        number, at = TaskContext.get().partitionId(), 0
+        task = number << 32
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
@@ -253,12 +257,10 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
                 docs = pa.table(dict(zip(names, cols, strict=True)))
                 key = np.concatenate(lists).astype(np.uint64) << U64(20)
                 key |= np.repeat((np.arange(len(n)) << 1 | own).astype(np.uint64), n)
-                del lists
                 key.sort()
                 grams, of = (key >> U64(20)).astype(np.uint32), (key & U64(0xFFFFF)).astype(np.uint32)
-                del key
                 shard = shard_of(grams, shards)
-                docs = docs.append_column("shard", pa.array(np.full(len(n), (task + at) * 0x9E3779B1 % shards), pa.int32()))
+                docs = docs.append_column("shard", pa.array(np.full(len(n), (number + at) % shards), pa.int32()))
                 asked = []
                 for s in np.unique(shard).tolist():
                     g, where = grams[shard == s], of[shard == s]
@@ -268,14 +270,17 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
                 out = pa.concat_tables([docs, pa.Table.from_pylist(asked, ASKED)], promote_options="permissive")
                 yield from out.select([*names, "shard", "grams", "counts", "texts"]).combine_chunks().to_batches()
                 at += 1
+                del lists, key, grams, of, shard, where, first, asked, out, docs
+                give_back()
 
     asked = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, counts binary, texts binary")
-    answers = pa.schema([("slice", pa.int64()), ("place", pa.int32()), ("part", pa.float64())])
+    parts_kept = pa.schema([("slice", pa.int64()), ("of", pa.int32()), ("places", pa.binary()), ("parts", pa.binary())])
 
-    def parted(rows, held):
-        """What the counts ``held`` add to each text of the requests ``rows``."""
+    def parted(rows, held, shard):
+        """What the counts ``held`` add to the texts of the requests ``rows``: a row for each request, its texts' parts in it."""
         model = shared.value[1]
         grams, counts = unpacked(held.column("grams")[0].as_py(), True), unpacked(held.column("counts")[0].as_py())
+        out = []
         for i, g, c, where in zip(*(rows.column(x) for x in ("slice", "grams", "counts", "texts")), strict=True):
             g, c, where = unpacked(g.as_py(), True), unpacked(c.as_py()), unpacked(where.as_py())
             at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
@@ -289,18 +294,33 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
             part = times * model.gain(g[of], np.maximum(seen[of] - times * (where & np.uint32(1)), 0))
             total = np.bincount(where >> np.uint32(1), part)
             place = np.flatnonzero(total)
-            yield pa.table([pa.array(np.full(len(place), i.as_py())), pa.array(place, pa.int32()), pa.array(total[place])], answers)
+            out.append({"slice": i.as_py(), "of": shard, "places": packed(place, True), "parts": total[place].tobytes()})
+        return pa.Table.from_pylist(out, parts_kept)
 
     def answer(key, asked, held):
         texts = pc.is_null(asked.column("grams"))
-        out = [asked.filter(texts).select(["slice", "place", "base", "n", *carried]).rename_columns(["slice", "place", "part", "n", *carried])]
-        if held.num_rows:
-            out += parted(asked.filter(pc.invert(texts)), held)
-        return pa.concat_tables(out, promote_options="permissive")
-
-    parted_rows = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(answer, f"slice long, place int, part double, n long, {kinds}")
-    both = parted_rows.groupBy("slice", "place").agg(F.sum("part").alias("part"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in carried])
-    return both.select(*carried, F.exp(-(F.col("part") + pseudo * mean) / (F.col("n") + pseudo)).alias("perplexity"))
+        out = asked.filter(texts).select(["slice", "place", "base", "n", *carried])
+        if not held.num_rows:
+            return out.append_column("of", pa.nulls(len(out), pa.int32())).append_column("places", pa.nulls(len(out), pa.binary())).append_column(
+                "parts", pa.nulls(len(out), pa.binary()))
+        out = pa.concat_tables([out, parted(asked.filter(pc.invert(texts)), held, key[0].as_py())], promote_options="permissive")
+        give_back()
+        return out
+
+    def summed(key, rows):
+        """The texts of one slice with the log probability that all shards give them, added up in the shards' order."""
+        added = pc.is_valid(rows.column("places"))
+        texts = rows.filter(pc.invert(added)).select(["place", "base", "n", *carried])
+        total = np.zeros(len(texts))  # a slice's places are 0 to their number
+        for places, part in zip(*(rows.filter(added).sort_by("of").column(c) for c in ("places", "parts")), strict=True):
+            total[unpacked(places.as_py(), True)] += np.frombuffer(part.as_py())
+        total = texts.column("base").to_numpy() + total[texts.column("place").to_numpy()]
+        return texts.select(["n", *carried]).append_column("total", pa.array(total, pa.float64())).select(["total", "n", *carried])
+
+    replies = asked.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(
+        answer, f"slice long, place int, base double, n long, {kinds}, of int, places binary, parts binary")
+    both = replies.groupBy("slice").applyInArrow(summed, f"total double, n long, {kinds}")
+    return both.select(*carried, F.exp(-(F.col("total") + pseudo * mean) / (F.col("n") + pseudo)).alias("perplexity"))
 
 
 ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
@@ -312,7 +332,7 @@ def _scores(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str,
     ship_package(docs.sparkSession)
     ids = trusted_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("own", F.lit(True))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), body(text_col).alias("t"), *(extra or []))
-    rows = join_small(rows, materialize(ids, "trusted"), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    rows = join_measured(rows, materialize(ids, "trusted"), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
     extras = [c for c in rows.columns if c not in ("id", "lang", "t", "own")]
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
