@@ -7,9 +7,9 @@ to shards by bigram and added up there. The number of shards follows the size of
 one place; only what is known of single tokens (contexts and continuations, ``VOCABULARY`` numbers each) goes to every task.
 
 Documents are scored by joining the shards: a task sends each shard the different bigrams of some thousand texts once, with
-the places of the texts they are in; a shard answers each request with one row that has what its counts add to its texts' log probabilities; the rows of a slice
-are summed together. Of a
-trusted text its own occurrences are taken off the counts first, so it is judged like a text the model has not seen.
+the places of the texts they are in, trusted texts first, as 16-bit steps; a shard answers each request with one row that has
+what its counts add to its texts' log probabilities; the rows of a slice are summed together. Of a trusted text its own
+occurrences are taken off the counts first, so it is judged like a text the model has not seen.
 
 A text is rejected when its perplexity exceeds a quantile of the trusted texts of its own language (of all trusted texts
 where the language has none). Null and empty texts have a null perplexity and are rejected; a null language is a language
@@ -38,6 +38,7 @@ QUANTILE, MARGIN = 0.995, 1.15
 PSEUDO = 10  # tokens of average trusted text that every text is eked out with, so that a few words do not decide
 SHARD_BYTES, LEAST_SHARDS = 32 << 20, 4  # text for each shard
 SLICE = 2500  # texts
+FIRST = 1 << 12  # more than SLICE; added to the place of the first text of a bigram, so runs are found again
 PIECE = 1 << 20  # tokens counted at a time
 
 
@@ -75,18 +76,36 @@ def bigrams(numbers: np.ndarray) -> np.ndarray:
     return s[:-1] << np.uint32(16) | s[1:]
 
 
-def packed(x: np.ndarray, ascending: bool = False) -> bytes:
-    """An array of 32-bit numbers, its bytes laid out by place; of ascending ones the steps."""
-    x = np.diff(x, prepend=np.uint32(0)).astype(np.uint32) if ascending else x.astype(np.uint32)
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(x: np.ndarray, ascending: bool = False, kind: type = np.uint32) -> bytes:
+    """An array of unsigned numbers, its bytes laid out by place; of ascending ones the steps."""
+    x = (np.diff(x, prepend=kind(0)) if ascending else x).astype(kind)
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return len(x).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked(raw: bytes, ascending: bool = False) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    flat = np.frombuffer(pa.decompress(raw[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    x = np.ascontiguousarray(flat.reshape(4, n).T).view(np.uint32).ravel()
-    return np.cumsum(x, dtype=np.uint32) if ascending else x
+def unpacked(raw: bytes, ascending: bool = False, kind: type = np.uint32) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(raw[4:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(flat.reshape(width, n).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
+def packed_runs(where: np.ndarray, first: np.ndarray) -> bytes:
+    """Places below ``FIRST``, ascending in each run; ``first`` has the positions at which runs begin."""
+    steps = np.diff(where.astype(np.int64), prepend=0)
+    steps[first] = where[first] + np.int64(FIRST)
+    return packed(steps, kind=np.uint16)
+
+
+def unpacked_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of its run and the place of each element."""
+    steps = unpacked(raw, kind=np.uint16).astype(np.int64)
+    begins = steps >= FIRST
+    of = np.cumsum(begins) - 1
+    steps[begins] -= FIRST
+    where = np.cumsum(steps)
+    before = (where - steps)[begins]
+    return of, where - before[of]
 
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -252,28 +271,31 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
                 base = [float((model.back[g >> np.uint32(16)] + model.single[g & np.uint32(0xFFFF)]).sum()) for g in lists]
                 n = np.array([len(g) for g in lists])
                 names = ["slice", "place", "base", "n", *carried]
-                cols = [pa.array(np.full(len(n), task + at)), pa.array(np.arange(len(n)), pa.int32()), pa.array(base, pa.float64()), pa.array(n, pa.int64()),
+                mine = int(own.sum())  # the model has counted the texts at the places below
+                rank = np.empty(len(n), dtype=np.int64)
+                rank[np.argsort(~own, kind="stable")] = np.arange(len(n))
+                cols = [pa.array(np.full(len(n), task + at)), pa.array(rank, pa.int32()), pa.array(base, pa.float64()), pa.array(n, pa.int64()),
                         *(b.column(c) for c in carried)]
                 docs = pa.table(dict(zip(names, cols, strict=True)))
-                key = np.concatenate(lists).astype(np.uint64) << U64(20)
-                key |= np.repeat((np.arange(len(n)) << 1 | own).astype(np.uint64), n)
+                key = np.concatenate(lists).astype(np.uint64) << U64(12)
+                key |= np.repeat(rank.astype(np.uint64), n)
                 key.sort()
-                grams, of = (key >> U64(20)).astype(np.uint32), (key & U64(0xFFFFF)).astype(np.uint32)
+                grams, of = (key >> U64(12)).astype(np.uint32), (key & U64(FIRST - 1)).astype(np.uint32)
                 shard = shard_of(grams, shards)
                 docs = docs.append_column("shard", pa.array(np.full(len(n), (number + at) % shards), pa.int32()))
                 asked = []
                 for s in np.unique(shard).tolist():
                     g, where = grams[shard == s], of[shard == s]
                     first = np.flatnonzero(np.diff(g.astype(np.int64), prepend=-1))
-                    asked.append({"slice": task + at, "shard": s, "grams": packed(g[first], True),
-                                  "counts": packed(np.diff(np.append(first, len(g)))), "texts": packed(where)})
+                    asked.append({"slice": task + at, "shard": s, "grams": packed(g[first], True), "texts": packed_runs(where, first),
+                                  "mine": mine})
                 out = pa.concat_tables([docs, pa.Table.from_pylist(asked, ASKED)], promote_options="permissive")
-                yield from out.select([*names, "shard", "grams", "counts", "texts"]).combine_chunks().to_batches()
+                yield from out.select([*names, "shard", "grams", "texts", "mine"]).combine_chunks().to_batches()
                 at += 1
                 del lists, key, grams, of, shard, where, first, asked, out, docs
                 give_back()
 
-    asked = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, counts binary, texts binary")
+    asked = rows.mapInArrow(request, f"slice long, place int, base double, n long, {kinds}, shard int, grams binary, texts binary, mine int")
     parts_kept = pa.schema([("slice", pa.int64()), ("of", pa.int32()), ("places", pa.binary()), ("parts", pa.binary())])
 
     def parted(rows, held, shard):
@@ -281,20 +303,19 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
         model = shared.value[1]
         grams, counts = unpacked(held.column("grams")[0].as_py(), True), unpacked(held.column("counts")[0].as_py())
         out = []
-        for i, g, c, where in zip(*(rows.column(x) for x in ("slice", "grams", "counts", "texts")), strict=True):
-            g, c, where = unpacked(g.as_py(), True), unpacked(c.as_py()), unpacked(where.as_py())
+        for i, g, texts, mine in zip(*(rows.column(x) for x in ("slice", "grams", "texts", "mine")), strict=True):
+            g, (of, where) = unpacked(g.as_py(), True), unpacked_runs(texts.as_py())
             at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
             seen = np.where(grams[at] == g, counts[at], 0).astype(np.int64)
-            of = np.repeat(np.arange(len(g)), c)
             keep = np.flatnonzero(seen[of])
             of, where = of[keep], where[keep]
-            run = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(where.astype(np.int64), prepend=-1) != 0))
+            run = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(where, prepend=-1) != 0))
             times = np.diff(np.append(run, len(of)))
             of, where = of[run], where[run]
-            part = times * model.gain(g[of], np.maximum(seen[of] - times * (where & np.uint32(1)), 0))
-            total = np.bincount(where >> np.uint32(1), part)
+            part = times * model.gain(g[of], np.maximum(seen[of] - times * (where < mine.as_py()), 0))
+            total = np.bincount(where, part)
             place = np.flatnonzero(total)
-            out.append({"slice": i.as_py(), "of": shard, "places": packed(place, True), "parts": total[place].tobytes()})
+            out.append({"slice": i.as_py(), "of": shard, "places": packed(place, True), "parts": packed(total[place].view(U64), kind=U64)})
         return pa.Table.from_pylist(out, parts_kept)
 
     def answer(key, asked, held):
@@ -313,7 +334,7 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
         texts = rows.filter(pc.invert(added)).select(["place", "base", "n", *carried])
         total = np.zeros(len(texts))  # a slice's places are 0 to their number
         for places, part in zip(*(rows.filter(added).sort_by("of").column(c) for c in ("places", "parts")), strict=True):
-            total[unpacked(places.as_py(), True)] += np.frombuffer(part.as_py())
+            total[unpacked(places.as_py(), True)] += unpacked(part.as_py(), kind=U64).view(np.float64)
         total = texts.column("base").to_numpy() + total[texts.column("place").to_numpy()]
         return texts.select(["n", *carried]).append_column("total", pa.array(total, pa.float64())).select(["total", "n", *carried])
 
@@ -323,7 +344,7 @@ def scored(rows: DataFrame, trained: tuple, shards: int, pseudo: int = PSEUDO) -
     return both.select(*carried, F.exp(-(F.col("total") + pseudo * mean) / (F.col("n") + pseudo)).alias("perplexity"))
 
 
-ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("texts", pa.binary()), ("mine", pa.int32())])
 
 
 def _scores(docs: DataFrame, trusted_ids: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float,

@@ -121,6 +121,11 @@ def test_arrays_survive_packing():
     x = np.array([0, 5, 5, 70_000, 2 ** 32 - 1], dtype=np.uint32)
     assert kn.unpacked(kn.packed(x)).tolist() == kn.unpacked(kn.packed(x, True), True).tolist() == x.tolist()
     assert not len(kn.unpacked(kn.packed(x[:0])))
+    where, first = np.array([0, 0, 4095, 7, 7, 9, 3, 0]), np.array([0, 3, 6, 7])
+    of, place = kn.unpacked_runs(kn.packed_runs(where, first))
+    assert place.tolist() == where.tolist() and of.tolist() == [0, 0, 0, 1, 1, 1, 2, 3]
+    parts = np.array([0.1, -3e-200, 7.0])
+    assert kn.unpacked(kn.packed(parts.view(np.uint64), kind=np.uint64), kind=np.uint64).view(float).tolist() == parts.tolist()
 
 
 def test_rows_without_anything_to_judge_by(spark, frame):
