@@ -163,3 +163,36 @@ def test_unknown_sectors_are_one_sector(spark):
     same = {(r["src"], r["dst"]): r["same"] for r in K.linked_correlations(w, edges).collect()}
     assert same == {(0, 1): True, (0, 2): False, (2, 3): True}
     assert {r["same"]: r["pairs"] for r in K.strata_totals(w).collect()} == {True: 2, False: 4}
+
+
+def test_windows_are_made_from_one_row_a_pair(spark):
+    """Rows of the overlapping windows are neither shuffled nor aggregated, whatever days a pair has."""
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(days=n)
+    rows = [(day(n), "x", 1, 2, float(n)) for n in (0, 0, 3, 7, 25, 90)] + [(day(3), "x", 2, 3, 0.5), (day(4), "x", 4, 5, None), (None, "x", 1, 2, 9.0)]
+    e = spark.createDataFrame(rows, "date date, layer string, src long, dst long, conf double")
+    snaps = G.rolling_snapshots(e, "2020-01-01", (5, 30))
+    plan = snaps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+    want = {}
+    for win in (5, 30):
+        for i in range(20):
+            for d, _, a, b, c in rows:
+                if d is not None and i * 20 - win < (d - day(0)).days <= i * 20:
+                    key = (day(i * 20), win, a, b)
+                    want[key] = c if want.get(key) is None else want[key] + (c or 0.0)
+    assert {(r["snap_date"], r["win"], r["src"], r["dst"]): r["weight"] for r in snaps.collect()} == want
+
+
+def test_edges_outside_the_universe_leave_their_days(spark):
+    rows = [(D(2020, 1, 1), "x", 1, 2, 1.0), (D(2020, 1, 1), "x", 1, 2, 2.0), (D(2020, 3, 1), "x", 1, 9, 1.0), (D(2020, 3, 1), "y", 8, 9, 1.0),
+            (D(2020, 6, 1), "x", 2, 1, 1.0)]
+    e = spark.createDataFrame(rows, "date date, layer string, src long, dst long, conf double")
+    uni = spark.createDataFrame([(0, 1), (1, 2)], "pos int, firm long")
+    near = G.daily_inside(e, uni)
+    got = sorted(((str(r["date"]), r["layer"], r["src"], r["dst"], r["conf"]) for r in near.collect()), key=str)
+    assert got == [("2020-01-01", "x", 1, 2, 3.0), ("2020-03-01", None, None, None, None), ("2020-06-01", "x", 2, 1, 1.0)]
+    key = lambda df: sorted((r["snap_date"], r["win"]) for r in df.collect())
+    assert key(G.snapshots_of_days(near, "2020-01-01")) == key(G.snapshot_dates(G.rolling_snapshots(e, "2020-01-01")))
+    whole, inside = G.rolling_snapshots(e, "2020-01-01"), G.rolling_snapshots(near.where("src is not null"), "2020-01-01")
+    edges_of = lambda df: sorted(map(tuple, G.layer_graph(df, uni).collect()))
+    assert edges_of(whole) == edges_of(inside) != []
