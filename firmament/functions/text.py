@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmament.functions.scalars import let
+from firmament.session import materialize
 
 FLAGS = "(?iUd)"
 
@@ -133,6 +134,34 @@ def boundary_spans(texts: DataFrame, text: str, sizes: list[int]) -> DataFrame:
     return cut.select(*keep, F.explode(spans).alias("_s")).select(*keep, "_s.start", "_s.stop", "_s.span")
 
 
+def name_spans(texts: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """``names`` joined to the places of ``texts`` where they stand, with ``span``, ``start`` and ``stop``; the text is left out.
+
+    The places are those of ``boundary_spans``. Only texts and names equal in ``by`` meet. A name is looked up by one word of
+    its own, the one that the fewest names have: a text gives one row per word and not one per span, and the name is compared
+    where its word was met.
+    """
+    listed = names.select(*by, "name").distinct().withColumn("_p", word_pieces(F.col("name")))
+    words = listed.select(*by, "name", F.size("_p").alias("_k"), F.posexplode("_p").alias("_o", "_w")).where(F.col("_w").rlike(r"^(?U)\w"))
+    usual = words.groupBy(*by, "_w").agg(F.count("*").alias("_n"))
+    rarest = words.join(usual, [*by, "_w"]).groupBy(*by, "name").agg(F.min_by(F.struct("_w", "_o", "_k"), F.struct("_n", "_o")).alias("_a"))
+    anchored = materialize(names.join(rarest, [*by, "name"]).select(*names.columns, "_a._w", "_a._o", "_a._k"), "anchors")
+    met = (
+        texts.select(*texts.columns, F.posexplode_outer(word_pieces(F.col("text"))).alias("_j", "_w"))  # outer: cut once, no filter cuts it again
+        .join(anchored.withColumnRenamed("name", "span"), [*by, "_w"])
+        .withColumns({"_p": word_pieces(F.col("text")), "_i": F.col("_j") - F.col("_o")})
+    )
+    n, word = F.size("_p"), r"(?U)\w"
+    first = F.when(F.element_at("_p", 1).rlike("^" + word), 0).otherwise(1)
+    last = F.when(F.element_at("_p", -1).rlike(word + "$"), n).otherwise(n - 1)
+    inside = met.where((F.col("_i") >= first) & (F.col("_i") + F.col("_k") <= last))
+    same = inside.where(F.array_join(F.slice("_p", F.col("_i") + 1, F.col("_k")), "") == F.col("span"))
+    at = F.length(F.array_join(F.slice("_p", 1, F.col("_i")), ""))
+    kept = [c for c in texts.columns if c != "text"]
+    return same.withColumn("start", at).select(
+        *kept, "span", *[c for c in names.columns if c not in ("name", *by)], "start", (F.col("start") + F.length("span")).alias("stop"))
+
+
 def piece_counts(names: DataFrame, name: str = "name") -> list[int]:
     """The distinct numbers of pieces among a dictionary's names (a handful of small integers)."""
     return sorted(r[0] for r in names.select(F.size(word_pieces(F.col(name)))).distinct().collect()) or [1]

@@ -1,8 +1,9 @@
 """Company mentions in headlines and the pairs they form.
 
-The dictionary is a DataFrame. Every span of a headline that could match is
-joined to it by equality, whatever the dictionary's size; Spark broadcasts it
-when its measured size allows and shuffles otherwise.
+The dictionary is a DataFrame. The words of a headline are joined by equality to
+the rarest word of each name, whatever the dictionary's size, and the name is
+compared where that word meets; Spark broadcasts the dictionary when its measured
+size allows and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions.text import (
     BLOCKED_NAMES, FLAGS, HYPHEN_LOOK, MAX_FIRMS, MAX_GAP, NAME_EXCLUSIONS,
-    boundary_spans, classify, clean_name, is_junk, piece_counts,
+    classify, clean_name, is_junk, name_spans,
 )
 
 from firmament.session import materialize
@@ -49,11 +50,13 @@ def short_names(names: DataFrame) -> DataFrame:
     )
 
 
-def _hits(articles: DataFrame, dictionary: DataFrame, lowered: bool, rank: int) -> DataFrame:
-    text = F.lower("title") if lowered else F.col("title")
-    spans = boundary_spans(articles.select("article_id", text.alias("_t")), "_t", piece_counts(dictionary))
-    return spans.drop("_t").join(dictionary.withColumnRenamed("name", "span"), "span").select(
-        "article_id", F.lit(rank).alias("rank"), "span", "start", "stop", "firm", "ord")
+def _hits(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Occurrences of the names of ``dictionary`` (``name, firm, ord, rank``), the names of rank 0 in the lower-cased title."""
+    title = F.col("title")
+    texts = F.array(F.struct(F.lit(0).alias("rank"), F.lower(title).alias("text")), F.struct(F.lit(1).alias("rank"), title.alias("text")))
+    bracketed = F.concat(texts, F.array(F.struct(F.lit(2).alias("rank"), title.alias("text"))))
+    read = articles.select("article_id", F.explode_outer(F.when(title.contains("("), bracketed).otherwise(texts)).alias("_t"))
+    return name_spans(read.select("article_id", "_t.rank", "_t.text"), dictionary, ["rank"])
 
 
 def find_mentions(articles: DataFrame, names: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
@@ -70,14 +73,14 @@ def find_mentions(articles: DataFrame, names: DataFrame, tickers: DataFrame | No
     for firm, pattern in NAME_EXCLUSIONS.items():
         barred = barred | ((F.col("firm").cast("string") == firm)
                            & F.expr("substring(lower(title), stop + 1)").rlike(FLAGS + rf"^\s*({pattern})"))
-    full = _hits(articles, long_names(names), True, 0)
-    short = _hits(articles, short_names(names), False, 1)
-    brackets = _hits(articles.where(F.col("title").contains("(")), tickers, False, 2).where(
-        F.col("span").rlike("^[A-Z]{1,5}$"))
+    listed = (
+        long_names(names).withColumn("rank", F.lit(0)).unionByName(short_names(names).withColumn("rank", F.lit(1)))
+        .unionByName(tickers.where(F.col("name").rlike("^[A-Z]{1,5}$")).select("name", "firm", "ord", F.lit(2).alias("rank")))
+    )
+    hits = materialize(_hits(articles, materialize(listed, "names-listed")), "hits")  # written: its size tells how to join it
     enclosed = (F.expr("substring(title, start, 1)") == "(") & (F.expr("substring(title, stop + 1, 1)") == ")")
     claims = (
-        full.unionByName(short).unionByName(brackets)
-        .join(articles.select("article_id", "title"), "article_id")
+        hits.join(articles.select("article_id", "title"), "article_id")
         .withColumn("barred", (F.col("rank") == 0) & barred)
         .where((F.col("rank") < 2) | ((F.col("start") > 0) & enclosed))
         .withColumns({"start": F.when(F.col("rank") == 2, F.col("start") - 1).otherwise(F.col("start")),
@@ -148,8 +151,9 @@ def rule_edges(articles: DataFrame, names: DataFrame, allow_rumors: bool = True)
     """``(article_id, date, ticker_a, ticker_b, relation, headline)``: one row per pair found."""
     typed = materialize(typed_headlines(articles, allow_rumors), "typed")  # read once per dictionary below
     found = pair_mentions(find_mentions(typed.select("article_id", "title"), names))
+    pairs = materialize(found.select("article_id", F.explode("pairs").alias("p")), "pairs")
     return (
-        typed.join(found.select("article_id", F.explode("pairs").alias("p")), "article_id")
+        typed.join(pairs, "article_id")
         .select("article_id", "date", F.col("p.a").alias("ticker_a"), F.col("p.b").alias("ticker_b"),
                 "relation", F.col("title").alias("headline"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions.text import boundary_spans, clean_mention, piece_counts
 from firmament.operators.mentions import long_names
+from firmament.session import materialize
 
 
 def resolve_names(written: DataFrame, names: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def resolve_names(written: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``ticker_a``, ``ticker_b`` and how many of them are in the universe."""
-    found = resolve_names(
-        edges.select(F.explode(F.array("firm_a", "firm_b")).alias("name")).where(F.col("name").isNotNull()), names)
+    written = edges.select(F.explode(F.array("firm_a", "firm_b")).alias("name")).where(F.col("name").isNotNull())
+    found = materialize(resolve_names(materialize(written.distinct(), "names-written"), names), "names-resolved")
     a = found.select(F.col("name").alias("firm_a"), F.col("firm").alias("ticker_a"))
     b = found.select(F.col("name").alias("firm_b"), F.col("firm").alias("ticker_b"))
     return edges.join(a, "firm_a", "left").join(b, "firm_b", "left").withColumn(

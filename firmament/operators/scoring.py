@@ -21,7 +21,8 @@ def rules_prediction(headlines: DataFrame, names: DataFrame) -> DataFrame:
     """``(article_id, relation)`` where the rules emit at least one pair."""
     typed = materialize(typed_headlines(headlines), "typed")
     paired = pair_mentions(find_mentions(typed.select("article_id", "title"), names)).where(F.size("pairs") > 0)
-    return typed.join(paired.select("article_id"), "article_id", "left_semi").select("article_id", "relation")
+    paired = materialize(paired.select("article_id"), "paired")
+    return typed.join(paired, "article_id", "left_semi").select("article_id", "relation")
 
 
 def last_relation(edges: DataFrame, order: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmament import schemas as S
-from firmament.functions.text import RELATION_PATTERNS, RUMOR, cache_key
+from firmament.functions.text import RELATION_NEEDLES, RELATION_PATTERNS, RUMOR, cache_key
 from firmament.session import materialize
 
 BATCH_SIZE = 20
@@ -26,13 +26,22 @@ def numbered_prompt(headlines: list[str]) -> str:
     return "\n".join(f"{i}. {h}" for i, h in enumerate(headlines))
 
 
+_NAME = r"([A-Z][\w&.#'-]*(?: [A-Z0-9][\w&.#'-]*)*)"
+_STATED = [(relation, RELATION_NEEDLES[relation], rf"{_NAME} [^A-Z]*?(?i:{words})\w*[^A-Z]*{_NAME}") for relation, words in RELATION_PATTERNS]
+
+
 def pattern_extractor(headlines: list[str]) -> list[dict]:
-    """Reads '<Name> <relation words> <Name>' for capitalised names, dictionary-free."""
+    """Reads '<Name> <relation words> <Name>' for capitalised names, dictionary-free.
+
+    A pattern runs only where a text it needs occurs; letters beyond ASCII may fold to one, so such headlines skip this test.
+    """
     out = []
-    name = r"([A-Z][\w&.#'-]*(?: [A-Z0-9][\w&.#'-]*)*)"
     for i, h in enumerate(headlines):
-        for relation, words in RELATION_PATTERNS:
-            m = re.search(rf"{name} [^A-Z]*?(?i:{words})\w*[^A-Z]*{name}", h)
+        low = h.lower() if h.isascii() else None
+        for relation, needles, pattern in _STATED:
+            if low is not None and not any(n in low for n in needles):
+                continue
+            m = re.search(pattern, h)
             if m:
                 names = [g for g in m.groups() if g and g[:1].isupper()]
                 out.append({"headline_id": i, "firm_a": names[0], "firm_b": names[-1], "relation": relation,
@@ -59,6 +68,7 @@ def attempts(todo: DataFrame, extractor: Callable[[list[str]], list[dict]] = pat
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            errors, relations = [], []  # a frame goes back as one, whatever the extractor's batch
             for lo in range(0, len(pdf), batch_size):
                 part = pdf.iloc[lo: lo + batch_size]
                 per: dict[int, list[dict]] = {}
@@ -69,8 +79,10 @@ def attempts(todo: DataFrame, extractor: Callable[[list[str]], list[dict]] = pat
                         per.setdefault(rel.pop("headline_id"), []).append(rel)
                 except Exception as exc:  # reported with its keys, which stay uncached and are tried again next run
                     error = f"{type(exc).__name__}: {exc}"
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "seq": seq, "error": error, "relations": [
-                    None if error else per.get(i, []) for i in range(len(part))]})
+                errors += [error] * len(part)
+                relations += [None if error else per.get(i, []) for i in range(len(part))]
+            yield pd.DataFrame({"key": pdf["key"].to_numpy(), "seq": seq, "error": pd.Series(errors, dtype=object),
+                                "relations": pd.Series(relations, dtype=object)})
 
     return todo.select("key", "title").mapInPandas(call, S.ATTEMPTS)
 
@@ -147,6 +159,13 @@ def model_edges(articles: DataFrame, cache: DataFrame) -> DataFrame:
         "article_id", "date", "r.firm_a", "r.firm_b", "r.relation", "r.rumor", "headline", "ord")
 
 
+def last_relations(articles: DataFrame, cache: DataFrame) -> DataFrame:
+    """``(article_id, relation)``: the last cached relation of every headline that has one."""
+    keyed = articles.select("article_id", cache_key(F.col("title")).alias("key"))
+    return keyed.join(latest(cache).where(F.size("relations") > 0), "key").select(
+        "article_id", F.element_at("relations", -1)["relation"].alias("relation"))
+
+
 def run_cached(articles: DataFrame, cache_path: str, extractor=pattern_extractor) -> DataFrame:
     """Extract what is missing, keep it in the cache, return all edges. ``Cache.failed`` tells what got no answer."""
     cache = Cache(articles.sparkSession, cache_path)

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from firmament import schemas as S
 from firmament.functions import text as X
 from firmament.operators import mentions as MN
 from firmament.operators import news as NW
@@ -256,3 +257,59 @@ def test_spans_hold_every_match_of_a_name_and_no_lone_separator(spark):
             for m in re.finditer(rf"\b(?={re.escape(n)}\b)", t)}
     assert got == want
     assert all(re.search(r"\w", r["span"]) and texts[r["i"]][r["start"]:r["stop"]] == r["span"] for r in rows)
+
+
+def test_names_are_met_by_one_word_where_spans_meet_them(spark):
+    texts = [(1, 0, "house of acme buys acme, inc. (acme-north) and acme"), (2, 0, "(acme) north acme north"), (3, 0, "acme north north acme"),
+             (4, 1, "acme V1 north"), (5, 0, None), (6, 0, "été acme\u00e9 acme north."), (7, 0, "- acme -")]
+    names = spark.createDataFrame([("acme", 1, 0), ("house of acme", 2, 0), ("acme north", 3, 0), ("acme, inc.", 4, 0), ("---", 5, 0), ("V1", 6, 1)],
+                                  "name string, firm int, rank int")
+    df = spark.createDataFrame(texts, "id int, rank int, text string")
+    met = X.name_spans(df, names, ["rank"])
+    cut = X.boundary_spans(df, "text", X.piece_counts(names)).join(names.withColumnRenamed("name", "span"), ["rank", "span"])
+    cols = ["id", "rank", "span", "firm", "start", "stop"]
+    assert sorted(map(tuple, met.select(*cols).collect())) == sorted(map(tuple, cut.select(*cols).collect())) != []
+
+
+def test_headlines_of_a_frame_go_back_together(spark):
+    """Each call of the extractor gets a batch; the answers of a frame are one frame, errors only those of their batch."""
+    titles = spark.createDataFrame([(str(i), f"t{i}") for i in range(45)], "key string, title string").coalesce(1)
+    seen = {}
+
+    class Frames:
+        def mapInPandas(self, call, schema):
+            pdf = titles.toPandas()
+            seen["frames"] = list(call(iter([pdf])))
+
+        def select(self, *cols):
+            return self
+
+    def extractor(headlines):
+        if "t25" in headlines:
+            raise ValueError("no")
+        return [{"headline_id": 0, "firm_a": headlines[0], "firm_b": "b", "relation": "r", "rumor": False}]
+
+    E.attempts(Frames(), extractor)
+    frame, = seen["frames"]
+    assert list(frame["key"]) == [str(i) for i in range(45)]
+    assert [i for i, e in enumerate(frame["error"]) if e] == list(range(20, 40)) and frame["relations"][21] is None
+    assert [i for i, r in enumerate(frame["relations"]) if r] == [0, 40]
+    rows = E.attempts(titles, extractor).collect()
+    assert len(rows) == 45 and sum(r["error"] is None for r in rows) == 25
+
+
+def test_patterns_run_where_their_words_can_occur():
+    stated = ["Acme rivals Bolt", "Acme \u017fupplier Bolt", "Acme teams up with Bolt", "Acme to buy-out Bolt", "Acme and Bolt report"]
+    got = {r["headline_id"]: r["relation"] for r in E.pattern_extractor(stated)}
+    assert got == {0: "competitor", 1: "supplier", 2: "partnership", 3: "acquisition"}
+
+
+def test_last_relation_of_every_headline(spark):
+    two = [{"firm_a": "a", "firm_b": "b", "relation": x, "rumor": False} for x in ("supplier", "competitor")]
+    articles = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y"), ("4", None), ("5", "z")], "article_id string, title string").withColumn("date", F.lit("d"))
+    keys = {r["title"]: r["key"] for r in articles.select("title", X.cache_key(F.col("title")).alias("key")).collect()}
+    cache = spark.createDataFrame([(keys["x"], two[:1], 0), (keys["x"], two, 1), (keys["y"], [], 0), (keys["z"], two[:1], 0)], S.CACHE)
+    got = sorted(map(tuple, E.last_relations(articles, cache).collect()))
+    assert got == [("1", "competitor"), ("2", "competitor"), ("5", "supplier")]
+    by_title = SC.last_relation(E.model_edges(articles, cache), "ord").join(articles.withColumnRenamed("title", "headline"), "headline")
+    assert sorted(map(tuple, by_title.select("article_id", "relation").collect())) == got
