@@ -17,8 +17,7 @@ from firmament.llm.queries import DOMAIN_WEIGHTS, trusted
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that the model accepts."""
-    judged = kneser_ney.judged(docs, trusted(table(spark, sf_dir, "labels")))
-    return judged.where("accepted").select(*docs.columns)
+    return kneser_ney.keep_accepted(docs, trusted(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
